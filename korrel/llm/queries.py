@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from korrel.llm import leakage, mixing
+from korrel.llm import leakage, mixing, sentences
 from korrel.session import table
 
 
@@ -28,5 +28,10 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
 
-QUERIES = {"p6_found": p6_found, "p6_passages": p6_passages, "p7_mix": p7_mix, "p7_report": p7_report}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentence units of every document."""
+    return sentences.sentence_units(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p6_found": p6_found, "p6_passages": p6_passages, "p7_mix": p7_mix, "p7_report": p7_report, "p8_found": p8_found}
 ORACLES: dict[str, str] = {}

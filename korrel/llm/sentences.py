@@ -53,6 +53,8 @@ BLANK_LINE = regex.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")
 RUN = regex.compile(r"[.!?…。！？।॥|؟]+")
 DEVANAGARI, THAI = regex.compile(r"\p{Devanagari}"), regex.compile(r"[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
 CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
+FILE = regex.compile(r"^[A-Za-z\d][\w\-.()]*\.[a-z][a-z\d]{1,4}\b")
+LETTERS = regex.compile(r"[\p{L}\p{M}]+")
 #: Repetition mark that stands after a blank but belongs to the word before.
 THAI_REPEAT = "ๆ"
 
@@ -64,6 +66,7 @@ class Block:
     start: int
     end: int
     kind: str
+    body: int  # where its text begins, after a list mark or a sender
     ends_paragraph: bool = False
 
 
@@ -91,7 +94,7 @@ def blocks(text: str) -> list[Block]:
     at = 0
     cuts = [(m.start(), m.end()) for m in BLANK_LINE.finditer(text)] + [(len(text), len(text))]
     for end, after in cuts:
-        start, kind, number, first = at, "text", 0, True
+        start, kind, number, first, own = at, "text", 0, True, at
         line = at
         while line < end:
             stop = text.find("\n", line, end)
@@ -100,33 +103,33 @@ def blocks(text: str) -> list[Block]:
             while body < stop and text[body].isspace():
                 body += 1
             item = LIST_MARK.match(text, body, stop)
-            found = ""
+            found, mark_end = "", body
             if item:
                 n = int(item.group(1)) if item.group(1) else 0
                 # a wrapped line may start with an ordinal: numbers must count on
                 if not item.group(1) or n == number + 1 or (first and n):
-                    found, number = "item", n or number
-            if not found and CHAT_MARK.match(text, body, stop):
-                found = "chat"
+                    found, number, mark_end = "item", n or number, item.end()
+            if not found and (chat := CHAT_MARK.match(text, body, stop)):
+                found, mark_end = "chat", chat.end()
             if found:
-                _add(out, text, start, line, kind)
-                start, kind = body, found
+                _add(out, text, start, line, kind, own)
+                start, kind, own = body, found, mark_end
             first = False
             line = stop + 1
-        _add(out, text, start, end, kind)
+        _add(out, text, start, end, kind, own)
         if out:
             out[-1].ends_paragraph = True
         at = after
     return out
 
 
-def _add(out: list[Block], text: str, start: int, end: int, kind: str) -> None:
+def _add(out: list[Block], text: str, start: int, end: int, kind: str, body: int) -> None:
     while start < end and text[start].isspace():
         start += 1
     while end > start and text[end - 1].isspace():
         end -= 1
     if start < end:
-        out.append(Block(start, end, kind))
+        out.append(Block(start, end, kind, min(max(start, body), end)))
 
 
 def spans(text: str, start: int, end: int) -> list[tuple[int, int]]:
@@ -159,10 +162,10 @@ def spans(text: str, start: int, end: int) -> list[tuple[int, int]]:
 
 def candidates(text: str, block: Block) -> list[Candidate]:
     """The places in a block where a sentence may end, in order; the end of the block is none."""
-    inner = spans(text, block.start, block.end) if any(c in text[block.start : block.end] for c in "\"“„«「『（([{【《") else []
+    inner = spans(text, block.body, block.end) if any(c in text[block.body : block.end] for c in "\"“„«「『（([{【《") else []
     hindi = "|" in text[block.start : block.end] and DEVANAGARI.search(text, block.start, block.end) is not None
     out: list[Candidate] = []
-    free = block.start
+    free = block.body
     for a, b in [*inner, (block.end, block.end)]:
         for m in RUN.finditer(text, free, a):
             run = m.group()
@@ -182,13 +185,13 @@ def candidates(text: str, block: Block) -> list[Candidate]:
             if text[last] in MARKS and b + 1 < block.end and (text[b + 1].isspace() or CJK.match(text[b + 1])):
                 out.append(Candidate(b + 1, last, "close", a))
         free = b + 1
-    if THAI.search(text, block.start, block.end):
+    if THAI.search(text, block.body, block.end):
         held = {c.end for c in out}
-        for m in regex.finditer(r"\s+", text, pos=block.start, endpos=block.end):
+        for m in regex.finditer(r"\s+", text, pos=block.body, endpos=block.end):
             i, j = m.start(), m.end()
             if i in held or any(a < i < b for a, b in inner) or text[j] == THAI_REPEAT:
                 continue
-            before = text[i - 2] if text[i - 1] == THAI_REPEAT and i - 2 > block.start else text[i - 1]
+            before = text[i - 2] if text[i - 1] == THAI_REPEAT and i - 2 > block.body else text[i - 1]
             if THAI.match(before) or THAI.match(text[j]) or text[i - 1] == THAI_REPEAT:
                 if not (text[i - 1] in MARKS and text[i - 1] != THAI_REPEAT):
                     out.append(Candidate(i, i, "blank", next((a for a, b in inner if b == i - 1), -1)))
@@ -239,12 +242,14 @@ def shape(word: str) -> str:
     if not word:
         return "none"
     c = word[0]
+    if FILE.search(word):
+        return "file"
     if c in "\"“„«「『‹¿¡":
         return "quote"
     if c in "([{（【《":
         return "bracket"
     if c in "—–-":
-        return "dash"
+        return "lower" if word[1:2].islower() else "dash"
     if c.isdigit():
         return "digit"
     if c.islower():
@@ -292,7 +297,7 @@ def features(text: str, c: Candidate, unit: int, following: str, counts: Counts)
     return out
 
 
-def label(text: str, c: Candidate, unit: int, following: str) -> int | None:
+def label(text: str, c: Candidate, unit: int, following: str, counts: Counts) -> int | None:
     """1 or 0 if a candidate within a block is reliably an end or none, else None."""
     w1, at1 = word_before(text, c.at, unit)
     s2, bare = shape(following), w1.lower().rstrip(".")
@@ -307,7 +312,7 @@ def label(text: str, c: Candidate, unit: int, following: str) -> int | None:
             return 0
         return None
     if c.kind == "blank":
-        if text[c.at - 1].isdigit() and s2 == "thai" or s2 == "digit":
+        if text[c.at - 1].isdigit() and s2 == "thai" or s2 in ("digit", "file"):
             return 0
         return None
     if mark == "." and bare in BEFORE:
@@ -316,7 +321,9 @@ def label(text: str, c: Candidate, unit: int, following: str) -> int | None:
         return 0
     if mark == "." and len(bare) == 1 and bare.isalpha() and s2 == "upper" and not (at1 - 1 > unit and word_before(text, at1 - 1, unit)[0].lower().rstrip(".") in BEFORE):
         return 0
-    if mark in STRONG and s2 in ("upper", "other", "cjk", "thai"):
+    if mark == "." and len(bare) >= 5 and LETTERS.fullmatch(bare) and s2 in ("upper", "file", "other") and bare not in MAY_END and counts.ends.get(last_key(w1), 1.0) > 0:
+        return 1  # a long word that isn't one that never ends a block
+    if mark in STRONG and s2 in ("upper", "other", "cjk", "thai", "file"):
         return 1
     return None
 
@@ -329,12 +336,10 @@ def units(text: str | None, weights: dict[str, float], counts: Counts) -> list[t
     for block in blocks(text):
         unit = block.start
         for c in candidates(text, block):
-            if c.end <= unit:
-                continue
             following = word_after(text, c.end, block.end)
-            if not following:
+            if not following or c.end <= unit:
                 continue
-            if sum(weights.get(f, 0.0) for f in features(text, c, unit, following, counts)) > 0:
+            if sum(weights.get(f, 0.0) for f in features(text, c, max(unit, block.body), following, counts)) > 0:
                 out.append((unit, c.end))
                 unit = c.end
                 while text[unit].isspace():
@@ -349,12 +354,12 @@ def examples(text: str | None, counts: Counts) -> Iterator[tuple[list[str], int]
         return
     bs = blocks(text)
     for k, block in enumerate(bs):
-        unit = block.start
+        unit = block.body
         for c in candidates(text, block):
             following = word_after(text, c.end, block.end)
             if not following or c.end <= unit:
                 continue
-            y = label(text, c, unit, following)
+            y = label(text, c, unit, following, counts)
             if y is not None:
                 yield features(text, c, unit, following, counts), y
             if y == 1:
