@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from korrel.llm import leakage, mixing, sentences
+from korrel.llm import language, leakage, mixing, sentences
 from korrel.session import table
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language segments of files whose text is mixed, or its label missing or wrong."""
+    return language.mended_labels(table(spark, sf_dir, "indexed_files"), table(spark, sf_dir, "lang_labels"))
+
+
+def p5_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every language segment of every file, with its place and confidence."""
+    return language.language_segments(table(spark, sf_dir, "indexed_files"), table(spark, sf_dir, "lang_labels"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The evaluation items that each document holds, wholly or partly."""
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
@@ -33,5 +43,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_units(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p6_found": p6_found, "p6_passages": p6_passages, "p7_mix": p7_mix, "p7_report": p7_report, "p8_found": p8_found}
+QUERIES = {"p5_found": p5_found, "p5_segments": p5_segments, "p6_found": p6_found, "p6_passages": p6_passages, "p7_mix": p7_mix, "p7_report": p7_report, "p8_found": p8_found}
 ORACLES: dict[str, str] = {}
