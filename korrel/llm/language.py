@@ -61,7 +61,7 @@ LATIN_WORD = regex.compile(r"[\p{Latin}][\p{Latin}\p{M}'’.\-]*")
 NAME_WORD = regex.compile(r"\p{Lu}[\p{L}\p{M}'’.\-]*")
 #: Ends of sentences: end marks with closing marks, lone bars and slashes, line breaks.
 END = regex.compile(r"(?<=[!?…।॥][\"”»)]?)\s+|(?<=[。！？][」』”）]?)\s*(?=\S)|\s+[|/]\s+|\s*\n\s*|(?<=\.[\"”»)]?)\s+")
-SHORT = regex.compile(r"(?:^|(?<!\d)[\s(])(?:\p{L}|[A-Z]\.[A-Z]|Dr|Mr|Mrs|Ms|Prof|Rev|Sr|Sra|Dra|Mme|St|No|Nr|Rd|Ave?|Avda|Str|H\.No|Apt|Hrn?|Mohd|Smt|Shri|c|R|incl|Ltd|Pvt|Inc|Co|डॉ|श्री|सौ|डॉक्टर|திரு|டாக்டர்|นพ|Tel|Nº|n|cc)\.$")
+SHORT = regex.compile(r"(?:^|(?<!\d)[\s(。、：])(?:\p{L}|[A-Z]\.[A-Z]|Dr|Mr|Mrs|Ms|Prof|Rev|Sr|Sra|Dra|Mme|St|No|Nr|Rd|Ave?|Avda|Str|H\.No|Apt|Hrn?|Mohd|Smt|Shri|c|R|incl|Ltd|Pvt|Inc|Co|डॉ|श्री|सौ|डॉक्टर|திரு|டாக்டர்|นพ|Tel|Nº|n|cc)\.$")
 #: A closing phrase that describes the file.
 CLOSING = regex.compile(r"\bAn? (?:\p{L}+ ){1,5}named ")
 #: Where a stretch of Latin words may begin in a text of a script without end marks.
