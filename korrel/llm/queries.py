@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korrel.llm import knn, language, leakage, mixing, sentences
+from korrel.llm import knn, language, leakage, mixing, names, sentences
 from korrel.session import table
 
 
@@ -20,6 +20,16 @@ def p3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("id", (F.col("pos") + 1).alias("place"), F.col("x.neighbour").alias("neighbour"), (1 - F.col("x.away")).cast("double").alias("cosine"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of different spellings of one owner."""
+    return names.variant_pairs(table(spark, sf_dir, "indexed_files"))
+
+
+def p4_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every spelling of an owner with the entity it belongs to."""
+    return names.linked_spellings(table(spark, sf_dir, "indexed_files"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language segments of files whose text is mixed, or its label missing or wrong."""
     return language.mended_labels(table(spark, sf_dir, "indexed_files"), table(spark, sf_dir, "lang_labels"))
@@ -55,5 +65,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_units(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_nearest": p3_nearest, "p5_found": p5_found, "p5_segments": p5_segments, "p6_found": p6_found, "p6_passages": p6_passages, "p7_mix": p7_mix, "p7_report": p7_report, "p8_found": p8_found}
+QUERIES = {"p4_found": p4_found, "p4_entities": p4_entities, "p3_found": p3_found, "p3_nearest": p3_nearest, "p5_found": p5_found, "p5_segments": p5_segments, "p6_found": p6_found, "p6_passages": p6_passages, "p7_mix": p7_mix, "p7_report": p7_report, "p8_found": p8_found}
 ORACLES: dict[str, str] = {}
