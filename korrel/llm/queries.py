@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korrel.llm import knn, language, leakage, mixing, names, sentences
+from korrel.llm import knn, language, leakage, mixing, names, pii, sentences
 from korrel.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item of personal data in the free text and the packed fields of every file."""
+    return pii.personal_items(table(spark, sf_dir, "indexed_files"))
+
+
+def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fields with typed placeholders in place of personal data."""
+    return pii.redacted_files(table(spark, sf_dir, "indexed_files"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of files of which one is among the ten most similar of the other."""
     return knn.similar_pairs(table(spark, sf_dir, "indexed_files"))
@@ -65,5 +75,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_units(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_entities": p4_entities, "p3_found": p3_found, "p3_nearest": p3_nearest, "p5_found": p5_found, "p5_segments": p5_segments, "p6_found": p6_found, "p6_passages": p6_passages, "p7_mix": p7_mix, "p7_report": p7_report, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p4_found": p4_found, "p4_entities": p4_entities, "p3_found": p3_found, "p3_nearest": p3_nearest, "p5_found": p5_found, "p5_segments": p5_segments, "p6_found": p6_found, "p6_passages": p6_passages, "p7_mix": p7_mix, "p7_report": p7_report, "p8_found": p8_found}
 ORACLES: dict[str, str] = {}
