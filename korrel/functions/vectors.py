@@ -18,8 +18,9 @@ def norm(v: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """The cosine of unit vectors: their dot product within -1 and 1."""
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b)))
+    """The cosine of unit vectors: their dot product within -1 and 1; null for different lengths."""
+    d = dot(a, b)  # greatest and least pass over nulls
+    return F.when(d.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), d)))
 
 
 def unit(v: Column) -> Column:
