@@ -1,7 +1,8 @@
 """The most similar vectors of every vector: a small-world graph per shard, results merged.
 
 Shards are groups of neighbouring cells around centroids that are trained on a bounded sample; all
-rows are indexed. A vector belongs to the shards of its ``PROBES`` nearest centroids, so near
+rows are indexed. For routing, the mean of the sample is taken off every vector: else a centroid near
+the mean would be among the nearest of vectors that have nothing in common. A vector belongs to the shards of its ``PROBES`` nearest centroids, so near
 vectors share a shard even at the border of cells. Each shard builds a graph (see ``hnsw``) and
 answers for its own members; the answers of a vector's shards are merged by exact cosine.
 
@@ -28,9 +29,9 @@ from korrel.llm.hnsw import Graph
 from korrel.session import cut
 
 #: Vectors that the centroids are trained on, at most; centroids, at most; vectors of one cell, about.
-SAMPLE, CENTROIDS, CELL_ROWS = 24_000, 4096, 100
+SAMPLE, CENTROIDS, CELL_ROWS = 24_000, 4096, 60
 #: Vectors of a shard, about, and at most in one task. Nearest centroids whose shards a vector joins.
-SHARD_ROWS, TASK_ROWS, PROBES = 3000, 20_000, 3
+SHARD_ROWS, TASK_ROWS, PROBES = 4000, 20_000, 3
 #: Rounds of centroid training.
 ROUNDS = 3
 
@@ -98,20 +99,33 @@ def _copies(usable: DataFrame) -> DataFrame | None:
     return cut(keys.join(classes, ["h1", "h2"]).select("id", "first", "n"))
 
 
-def _routing(usable: DataFrame, rows: int, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(centroids, shard of each, parts of each shard), trained on a sample of at most SAMPLE rows."""
+def from_mean(x: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """Directions from ``mean``."""
+    y = x - mean
+    return y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-30)
+
+
+def nearest_centroids(y: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """The PROBES nearest centroids of each row."""
+    probes = min(PROBES, len(centroids))
+    return np.concatenate([np.argpartition(-(y[a : a + 4096] @ centroids.T), probes - 1, axis=1)[:, :probes] for a in range(0, len(y), 4096)])
+
+
+def _routing(usable: DataFrame, rows: int, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(mean, centroids, shard of each, parts of each shard), trained on at most SAMPLE rows, about."""
     share = min(1.0, SAMPLE / max(rows, 1))
     drawn = usable.where(F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("v").limit(2 * SAMPLE).toArrow()
     sample = unit_rows(drawn["v"], dims) if drawn.num_rows else np.zeros((0, dims), dtype=np.float32)
+    mean = sample.mean(axis=0) if len(sample) > 1 else np.zeros(dims, dtype=np.float32)
     if not len(sample):
-        return np.zeros((1, dims), dtype=np.float32), np.zeros(1, dtype=np.int32), np.ones(1, dtype=np.int32)
+        return mean, np.zeros((1, dims), dtype=np.float32), np.zeros(1, dtype=np.int32), np.ones(1, dtype=np.int32)
+    sample = from_mean(sample, mean)
     k = int(min(CENTROIDS, max(1, rows // CELL_ROWS), max(1, len(sample) // 12)))
     centroids = centroids_of(sample, k)
-    nearest = np.concatenate([(sample[a : a + 4096] @ centroids.T).argmax(1) for a in range(0, len(sample), 4096)])
-    weights = np.bincount(nearest, minlength=k) * (rows / len(sample))
+    weights = np.bincount(nearest_centroids(sample, centroids).ravel(), minlength=k) * (rows / len(sample))
     shard = shards_of(centroids, weights, SHARD_ROWS)
     size = np.bincount(shard, weights=weights)
-    return centroids, shard, np.maximum(1, np.ceil(PROBES * size / TASK_ROWS)).astype(np.int32)
+    return mean, centroids, shard, np.maximum(1, np.ceil(size / TASK_ROWS)).astype(np.int32)
 
 
 def nearest_of_all(rows: DataFrame, most: int = 10, vector: str = "embedding") -> DataFrame:
@@ -127,16 +141,13 @@ def nearest_of_all(rows: DataFrame, most: int = 10, vector: str = "embedding") -
     sent = spark.sparkContext.broadcast(_routing(usable, count, dims))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centroids, shard_of, parts_of = sent.value
-        probes = min(PROBES, len(centroids))
+        mean, centroids, shard_of, parts_of = sent.value
         for b in batches:
             if not b.num_rows:
                 continue
             x = unit_rows(b.column("v"), dims)
             ids = b.column("id").to_numpy(zero_copy_only=False)
-            sims = x @ centroids.T
-            top = np.argpartition(-sims, probes - 1, axis=1)[:, :probes]
-            shards = np.sort(shard_of[top], axis=1)
+            shards = np.sort(shard_of[nearest_centroids(from_mean(x, mean), centroids)], axis=1)
             first = np.ones_like(shards, dtype=bool)
             first[:, 1:] = shards[:, 1:] != shards[:, :-1]
             who, where = np.nonzero(first)
