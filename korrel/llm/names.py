@@ -85,8 +85,20 @@ def one_error(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i + 1 :] or a[i + 1 :] == b[i:] or a[i:] == b[i + 1 :] or (a[i : i + 2] == b[i : i + 2][::-1] and a[i + 2 :] == b[i + 2 :])
 
 
+_trades: dict[str, str | None] = {}
+
+
 def trade_of(word: str) -> str | None:
-    """The trade that a word says, written out, shortened or with a typing error; None if none."""
+    """The trade that a word says, written out, shortened or with a typing error; None if none.
+    What was found is kept for up to 200,000 words."""
+    if word not in _trades:
+        if len(_trades) >= 200_000:
+            _trades.clear()
+        _trades[word] = _trade_of(word)
+    return _trades[word]
+
+
+def _trade_of(word: str) -> str | None:
     bare = word.rstrip(".")
     if bare in TRADES:
         return bare

@@ -66,8 +66,17 @@ HOUSE_WORDS = set("house flat plot h.no hno no apt apartment unit मकान 
 MAIL = r"(?<![\w.+\-])[A-Za-z0-9][A-Za-z0-9._+\-]*+ ?(?:@|\(at\)) ?[A-Za-z0-9\-]++(?:(?:\.| ?\(dot\) ?)[A-Za-z0-9\-]++)+"
 NUMBER = r"(?<![\p{L}\p{M}\p{Nd}])(?:\(?\+?\p{Nd}+\)?|[A-Z]{1,5}-?\p{Nd}[A-Z\p{Nd}]*+|QQ(?= \p{Nd}))(?:(?:[ .\-/]|(?<=\)) ?)?(?:\(?\p{Nd}+\)?|(?<=\p{Nd})[A-Z]{1,3}(?=\p{Nd})\p{Nd}+))*(?:[ \-]?[A-Z])?(?![\p{L}\p{M}\p{Nd}])"
 TIGHT_NUMBER = NUMBER.replace("[ .\\-/]", "[.\\-/]").replace("(?<=\\)) ?", "(?<=\\))").replace("(?:[ \\-]?[A-Z])?", "(?:-?[A-Z])?")
-TOKEN = regex.compile(rf"({MAIL})|({NUMBER})|(\p{{Lu}}\.(?=[\s ]*\p{{L}}))|([\p{{L}}\p{{M}}\p{{Nd}}’']++(?:-\p{{L}}[\p{{L}}\p{{M}}]++)*)|(\S)")
-TOKEN_ANY_CASE = regex.compile(rf"({MAIL})|({TIGHT_NUMBER})|(\p{{L}}\.(?=[\s ]*\p{{L}}))|([\p{{L}}\p{{M}}\p{{Nd}}’']++(?:-\p{{L}}[\p{{L}}\p{{M}}]++)*)|(\S)", regex.IGNORECASE)
+
+
+def _token(mail: str, number: str, initial: str, flags: int = 0) -> regex.Pattern:
+    return regex.compile(rf"({mail})|({number})|({initial}\.(?=[\s ]*\p{{L}}))|([\p{{L}}\p{{M}}\p{{Nd}}’']++(?:-\p{{L}}[\p{{L}}\p{{M}}]++)*)|(\S)", flags)
+
+
+#: By (values of packed fields, mail addresses possible): texts without any are read faster.
+TOKENS = {
+    (False, True): _token(MAIL, NUMBER, r"\p{Lu}"), (False, False): _token("(?!)", NUMBER, r"\p{Lu}"),
+    (True, True): _token(MAIL, TIGHT_NUMBER, r"\p{L}", regex.IGNORECASE), (True, False): _token("(?!)", TIGHT_NUMBER, r"\p{L}", regex.IGNORECASE),
+}
 
 
 @dataclass(slots=True)
@@ -92,7 +101,7 @@ class Names:
 def tokens_of(text: str, any_case: bool = False) -> list[Token]:
     """The tokens of a text, in order."""
     kinds = ("mail", "number", "initial", "word", "mark")
-    return [Token(m.start(), m.end(), m.group(), kinds[m.lastindex - 1], m.group().lower()) for m in (TOKEN_ANY_CASE if any_case else TOKEN).finditer(text)]
+    return [Token(m.start(), m.end(), m.group(), kinds[m.lastindex - 1], m.group().lower()) for m in TOKENS[any_case, "@" in text or "(at)" in text.lower()].finditer(text)]
 
 
 def shape_of(t: Token) -> str:
@@ -245,7 +254,7 @@ def address_end(tokens: list[Token], flags: list[str], i: int, free: bool) -> in
             break
         elif u.kind == "word" and free and u.text[0].islower() and flags[j] not in ("house", "street") and u.low not in ("bis", "ter", "de", "du", "des", "la", "le", "los", "las", "del", "am", "der", "el", "l'", "a", "b", "º", "ª"):
             break
-        if j > i and u.text == "." and j + 1 < len(tokens) and tokens[j + 1].kind == "word" and flags[j - 1] not in ("street", "house") and tokens[j - 1].low not in ("no", "h", "avda", "ave", "rd"):
+        if j > i and u.text == "." and j + 1 < len(tokens) and tokens[j + 1].kind == "word" and flags[j - 1] not in ("street", "house") and tokens[j - 1].low not in ("no", "h", "avda", "ave", "rd") and tokens[j + 1].low not in ("º", "ª"):
             break
         j += 1
         last = j
@@ -354,29 +363,25 @@ def _padded(docs: list[Document], index: dict[str, int]) -> tuple[np.ndarray, np
     return x, there, begins
 
 
-def _logsum(a: np.ndarray, axis: int) -> np.ndarray:
-    top = a.max(axis=axis, keepdims=True)
-    return np.squeeze(top, axis) + np.log(np.exp(a - top).sum(axis=axis))
-
-
 def beliefs(unary: np.ndarray, there: np.ndarray, begins: np.ndarray, steps: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(marginal logs, forward, backward) along the chains; a chain begins where a text does."""
+    """(marginals, forward, backward with unary) along the chains; a chain begins where a text does.
+    All are scaled to sums of 1, token by token."""
     b, n, k = unary.shape
-    fwd, bwd = np.zeros((b, n, k)), np.zeros((b, n, k))
+    own = np.exp(unary - unary.max(axis=2, keepdims=True)).transpose(1, 0, 2).copy()  # token by token
+    go, start = np.exp(steps), np.exp(first)
+    fwd, bwd = np.empty((n, b, k)), np.ones((n, b, k))
     for i in range(n):
-        if i == 0:
-            come = np.broadcast_to(first, (b, k))
-        else:
-            come = np.where(begins[:, i, None], first, _logsum(fwd[:, i - 1, :, None] + steps, 1))
-        fwd[:, i] = come + unary[:, i]
-        fwd[:, i] -= fwd[:, i].max(axis=1, keepdims=True)
+        come = start if i == 0 else np.where(begins[:, i, None], start, fwd[i - 1] @ go)
+        fwd[i] = come * own[i]
+        fwd[i] /= fwd[i].sum(axis=1, keepdims=True)
+    goes = there[:, 1:] & ~begins[:, 1:]
     for i in range(n - 2, -1, -1):
-        goes = there[:, i + 1] & ~begins[:, i + 1]
-        back = _logsum(steps[None] + (unary[:, i + 1] + bwd[:, i + 1])[:, None, :], 2)
-        back -= back.max(axis=1, keepdims=True)
-        bwd[:, i] = np.where(goes[:, None], back, 0)
-    both = fwd + bwd
-    return both - _logsum(both, 2)[:, :, None], fwd, bwd
+        back = (own[i + 1] * bwd[i + 1]) @ go.T
+        back /= back.sum(axis=1, keepdims=True)
+        bwd[i] = np.where(goes[:, i, None], back, 1.0)
+    both = fwd * bwd
+    both /= both.sum(axis=2, keepdims=True)
+    return both.transpose(1, 0, 2), fwd.transpose(1, 0, 2), (own * bwd).transpose(1, 0, 2)
 
 
 def train(docs: list[Document], labels: list[list[int]], names: Names, steps: int = STEPS) -> Model:
@@ -399,8 +404,8 @@ def train(docs: list[Document], labels: list[list[int]], names: Names, steps: in
     for _ in range(steps):
         for x, there, begins, y in groups:
             unary = w[x].sum(axis=2)
-            marginal, fwd, bwd = beliefs(unary, there, begins, trans, first)
-            gap = np.exp(marginal)
+            marginal, fwd, after = beliefs(unary, there, begins, trans, first)
+            gap = marginal.copy()
             np.put_along_axis(gap, y[:, :, None], np.take_along_axis(gap, y[:, :, None], 2) - 1, 2)
             gap[~there] = 0
             gw = np.zeros_like(w)
@@ -408,9 +413,9 @@ def train(docs: list[Document], labels: list[list[int]], names: Names, steps: in
             for c in range(k):
                 gw[:, c] = np.bincount(flat.ravel(), weights=np.repeat(each[:, c], FEATURES), minlength=len(w))
             inner = there[:, 1:] & ~begins[:, 1:]
-            pair = fwd[:, :-1, :, None] + trans + (unary + bwd)[:, 1:, None, :]
-            pair -= _logsum(pair.reshape(*pair.shape[:2], -1), 2)[:, :, None, None]
-            gt = np.exp(pair[inner]).sum(axis=0)
+            left, right, go = fwd[:, :-1][inner], after[:, 1:][inner], np.exp(trans)
+            whole = ((left @ go) * right).sum(axis=1, keepdims=True)
+            gt = (left.T @ (right / whole)) * go
             np.add.at(gt, (y[:, :-1][inner], y[:, 1:][inner]), -1)
             gf = gap[begins].sum(axis=0)
             for a, g, s in ((w, gw + 0.003 * w, seen[0]), (trans, gt + 0.01 * trans, seen[1]), (first, gf, seen[2])):
@@ -435,17 +440,17 @@ def infer(docs: list[Document], model: Model) -> list[np.ndarray]:
             pairs = np.array([(r, i, j) for r, d in enumerate(own) for i, j in d.skips()], dtype=np.int64).reshape(-1, 3)
             marginal = beliefs(unary, there, begins, model.steps, model.first)[0]
             if len(pairs):
-                same = SKIP * (TYPE_OF[:, None] == TYPE_OF[None, :])
-                to_j = to_i = np.zeros((len(pairs), len(LABELS)))
+                same = np.exp(SKIP * (TYPE_OF[:, None] == TYPE_OF[None, :]))
+                to_j = to_i = np.ones((len(pairs), len(LABELS)))
                 r, i, j = pairs.T
                 for _ in range(ROUNDS):
                     # what each end believes without what the pair told it
-                    new_j = _logsum((marginal[r, i] - to_i)[:, :, None] + same, 1)
-                    new_i = _logsum((marginal[r, j] - to_j)[:, :, None] + same, 1)
-                    to_j, to_i = new_j - new_j.max(axis=1, keepdims=True), new_i - new_i.max(axis=1, keepdims=True)
+                    new_j = (marginal[r, i] / to_i) @ same
+                    new_i = (marginal[r, j] / to_j) @ same
+                    to_j, to_i = new_j / new_j.max(axis=1, keepdims=True), new_i / new_i.max(axis=1, keepdims=True)
                     told = unary.copy()
-                    np.add.at(told, (r, j), to_j)
-                    np.add.at(told, (r, i), to_i)
+                    np.add.at(told, (r, j), np.log(to_j))
+                    np.add.at(told, (r, i), np.log(to_i))
                     marginal = beliefs(told, there, begins, model.steps, model.first)[0]
             best = marginal.argmax(axis=2)
             for k, i in enumerate(order[at : at + size]):
