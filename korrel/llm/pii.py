@@ -172,6 +172,8 @@ def weak_labels(tokens: list[Token], flags: list[str], free: bool) -> list[int]:
         return got
 
     for i, t in enumerate(tokens):
+        if out[i]:
+            continue  # within an address
         if t.kind == "mail":
             out[i] = INDEX["EMAIL"]
         elif t.kind == "number":
