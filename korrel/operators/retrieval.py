@@ -7,13 +7,23 @@ check allows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from korrel.functions import text as T
 from korrel.functions import values as V
 from korrel.functions import vectors as VX
+from korrel.session import cut
+
+
+#: Query vectors that are sent to the executors at once.
+QUERY_BLOCK = 4096
 
 
 def query_tokens(queries: DataFrame) -> DataFrame:
@@ -86,11 +96,50 @@ def lexical(queries: DataFrame, files: DataFrame) -> DataFrame:
     return summed.join(names, "id").select("qid", "id", (F.col("fields") + covered).alias("score"))
 
 
+def _matrix(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """(unit vectors, rows they are in) of the usable vectors of a list column."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    sized = pc.fill_null(pc.equal(pc.list_value_length(column), dims), False).to_numpy(zero_copy_only=False)
+    rows = np.nonzero(sized)[0]
+    x = column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
+    length = np.linalg.norm(x, axis=1)
+    good = np.isfinite(length) & (length > 1e-8)
+    return x[good] / length[good, None], rows[good]
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, most: int) -> DataFrame:
-    """(qid, id, score, place): the nearest of (id, v) to each of (qid, q), both unit vectors. The
-    queries go to every block of vectors; each task keeps the best of each query."""
-    scored = vectors.crossJoin(F.broadcast(queries)).select("qid", "id", VX.cosine(F.col("q"), F.col("v")).alias("score")).where("score IS NOT NULL")
-    return best(scored, most)
+    """(qid, id, score, place): the nearest of (id, v) to each of (qid, q) by cosine. Vectors with null
+    or NaN, of zeros only or of another length than the query's are near to nothing.
+
+    The queries, a stated set, go to every block of vectors, QUERY_BLOCK at a time so that what is
+    sent stays bounded; each task multiplies whole blocks and keeps the best of each query."""
+    spark = queries.sparkSession
+    asked = queries.where("q IS NOT NULL").orderBy("qid").toArrow()
+    id_type, out = dict(queries.dtypes)["qid"], None
+    schema = f"qid {id_type}, id bigint, score double"
+    sizes = pc.list_value_length(asked["q"]).to_numpy() if asked.num_rows else np.zeros(0, dtype=int)
+    for dims in sorted(set(sizes.tolist())):
+        own = np.nonzero(sizes == dims)[0]
+        for at in range(0, len(own), QUERY_BLOCK):
+            part = asked.take(pa.array(own[at : at + QUERY_BLOCK]))
+            matrix, rows = _matrix(part["q"], dims)
+            sent = spark.sparkContext.broadcast((matrix, part["qid"].take(pa.array(rows)).combine_chunks(), dims))
+
+            def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+                matrix, qids, dims = sent.value
+                for b in batches:
+                    x, rows = _matrix(b.column("v"), dims)
+                    if not len(x) or not len(matrix):
+                        continue
+                    scores = np.clip(matrix @ x.T, -1.0, 1.0)
+                    keep = scores >= np.partition(scores, -min(most, scores.shape[1]), axis=1)[:, -min(most, scores.shape[1]), None]
+                    q, i = np.nonzero(keep)
+                    yield pa.RecordBatch.from_arrays([qids.take(pa.array(q)), b.column("id").take(pa.array(rows[i])).cast(pa.int64()), pa.array(scores[q, i])], names=["qid", "id", "score"])
+
+            found = vectors.select(F.col("id").cast("long"), "v").mapInArrow(scan, schema)
+            out = found if out is None else out.unionByName(found)
+    return best(out if out is not None else spark.createDataFrame([], schema), most)
 
 
 def fused(lists: list[tuple[DataFrame, float]], most: int, k: float = V.FUSION["k"]) -> DataFrame:
@@ -105,13 +154,13 @@ def fused(lists: list[tuple[DataFrame, float]], most: int, k: float = V.FUSION["
 def hybrid(queries: DataFrame, files: DataFrame, keyword_texts: DataFrame, most: int = 20, pool: int = 100) -> DataFrame:
     """(qid, id, score, place): lexical, keyword and vector retrieval fused. A query's vector is the
     mean vector of its five best files by words."""
-    by_fields = best(lexical(queries, files), pool)
+    by_fields = cut(best(lexical(queries, files), pool))  # at most ``pool`` rows of each query, used three times
     keyed = keyword_texts.join(files.select("id", "device_id", "path"), ["device_id", "path"])
     by_words = best(bm25(queries, keyed, "id", "keywords"), pool)
-    vectors = files.where(VX.usable(F.col("embedding"))).select("id", VX.unit(F.col("embedding")).alias("v"))
-    seeds = by_fields.where("place <= 5").join(vectors, "id").select("qid", F.posexplode("v").alias("i", "x"))
+    vectors = files.select("id", F.col("embedding").alias("v"))
+    seeds = by_fields.where("place <= 5").join(vectors, "id").where(VX.usable(F.col("v"))).select("qid", F.posexplode(VX.unit(F.col("v"))).alias("i", "x"))
     mean = seeds.groupBy("qid", "i").agg(F.avg("x").alias("x")).groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"].cast("float")).alias("q"))
-    near = nearest(mean.select("qid", VX.unit(F.col("q")).alias("q")), vectors, pool)
+    near = nearest(mean, vectors, pool)
     return fused([(by_fields, V.FUSION["lexical"]), (by_words, V.FUSION["dense"]), (near, V.FUSION["dense"])], most)
 
 

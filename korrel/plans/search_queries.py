@@ -122,7 +122,8 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH q AS (SELECT vec_id AS qid, embedding AS q FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT q.qid, e.vec_id AS id, greatest(-1, least(1, list_sum(list_transform(list_zip(q.q, e.embedding), lambda z: CAST(z[1] AS DOUBLE) * z[2])))) AS score FROM q, embeddings e WHERE e.vec_id <> q.qid)
+    """WITH n AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) AS len FROM embeddings),
+s AS (SELECT q.vec_id AS qid, e.vec_id AS id, list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda z: CAST(z[1] AS DOUBLE) * z[2])) / q.len / e.len AS score FROM n q, n e WHERE q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id)
 SELECT qid, id, round(score, 5) AS score FROM s QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) <= 10"""
 )
 def search_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
