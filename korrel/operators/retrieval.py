@@ -194,3 +194,32 @@ def rank_of(scored: DataFrame, wanted: DataFrame) -> DataFrame:
     return ours.join(higher, ["qid", "id"], "left").select("qid", "id", (F.coalesce("n", F.lit(0)) + 1).alias("rank"))
 
 
+
+
+def coverage(queries: DataFrame, files: DataFrame) -> DataFrame:
+    """(qid, id, name_share, query_share, is_title): how much of a name a query covers, how much of the
+    query the name does, and whether the query is the name's title: two tokens or more, both shares
+    85 % or more. Only files with a token in common come out."""
+    found = hits(queries, files).where("field = 'name'").groupBy("qid", "id", "n_tokens").agg(F.count_distinct("token").alias("n"))
+    names = files.select("id", F.size(F.array_distinct(T.stem_tokens(T.stem_of(F.col("name"))))).alias("name_size"))
+    both = found.join(names, "id").select("qid", "id", "n_tokens", (F.col("n") / F.col("name_size")).alias("name_share"), (F.col("n") / F.col("n_tokens")).alias("query_share"))
+    return both.select("qid", "id", "name_share", "query_share", ((F.col("n_tokens") >= 2) & (F.col("name_share") >= 0.85) & (F.col("query_share") >= 0.85)).alias("is_title"))
+
+
+def pooled(sources: list[tuple[DataFrame, bool]], cap: int) -> DataFrame:
+    """(qid, id, tier, pos): candidates of several sources (qid, id, ord), in the order of the sources and
+    then of ``ord``, each once in its first place; cut at ``cap`` places, but those of pinned sources stay."""
+    union = None
+    for tier, (source, pinned) in enumerate(sources):
+        part = source.select("qid", "id", F.lit(tier).alias("tier"), "ord", F.lit(pinned).alias("pinned"))
+        union = part if union is None else union.unionByName(part)
+    once = union.groupBy("qid", "id").agg(F.min(F.struct("tier", "ord")).alias("first"), F.max("pinned").alias("pinned"))
+    placed = once.withColumn("pos", F.row_number().over(W.partitionBy("qid").orderBy("first", "id")))
+    return placed.where((F.col("pos") <= cap) | F.col("pinned")).select("qid", "id", F.col("first.tier").alias("tier"), "pos")
+
+
+def weak_queries(queries: DataFrame, scored: DataFrame, least: float) -> DataFrame:
+    """(qid, n, top): queries without any scored file, or whose best score is below ``least``."""
+    per = scored.groupBy("qid").agg(F.count("*").alias("n"), F.max("score").alias("top"))
+    all_queries = queries.select("qid").distinct().join(per, "qid", "left")
+    return all_queries.select("qid", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("top", F.lit(0.0)).alias("top")).where(F.col("top") < least)

@@ -211,3 +211,51 @@ SELECT event_id FROM n WHERE following IS NULL OR epoch_us(following) - epoch_us
 def searches_settled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Searches that none of the same device followed at once."""
     return events.settled(events.once(table(spark, sf_dir, "search_completed"))).select("event_id")
+
+
+@query(
+    BASE
+    + r""", n AS (SELECT h.qid, h.id, h.n_tokens, count(DISTINCT h.token) AS n, any_value(len(f.tokens)) AS size FROM hits h JOIN fields f ON f.id = h.id AND f.field = 'name' WHERE h.field = 'name' GROUP BY h.qid, h.id, h.n_tokens)
+SELECT qid, id, round(n / size, 6) AS name_share, round(n / n_tokens, 6) AS query_share, n_tokens >= 2 AND n / size >= 0.85 AND n / n_tokens >= 0.85 AS is_title FROM n"""
+)
+def name_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each other golden queries and names cover."""
+    found = R.coverage(golden(spark, sf_dir), now(spark, sf_dir))
+    return found.select("qid", "id", F.round("name_share", 6).alias("name_share"), F.round("query_share", 6).alias("query_share"), "is_title")
+
+
+@query(
+    f"""{BASE}, {LEXICAL}, named AS (SELECT qid, id FROM hits WHERE field = 'name' GROUP BY qid, id, n_tokens HAVING count(DISTINCT token) = n_tokens), scored AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, id) AS ord FROM lexical QUALIFY ord <= 100),
+u AS (SELECT qid, id, 0 AS tier, CAST(0 AS BIGINT) AS ord, TRUE AS pinned FROM named UNION ALL SELECT qid, id, 1, ord, FALSE FROM scored), o AS (SELECT qid, id, min(tier * 1000000 + ord) AS first, bool_or(pinned) AS pinned FROM u GROUP BY qid, id),
+p AS (SELECT qid, id, first // 1000000 AS tier, pinned, row_number() OVER (PARTITION BY qid ORDER BY first, id) AS pos FROM o) SELECT qid, id, CAST(tier AS INT) AS tier, pos FROM p WHERE pos <= 40 OR pinned"""
+)
+def candidate_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of golden queries: those with all words in the name, which stay, then the best scored."""
+    q, files = golden(spark, sf_dir), now(spark, sf_dir)
+    named = R.full_matches(q, files, ["name"]).withColumn("ord", F.lit(0))
+    scored = R.best(R.lexical(q, files).withColumn("score", F.round("score", 6)), 100).select("qid", "id", F.col("place").alias("ord"))
+    return R.pooled([(named, True), (scored, False)], 40)
+
+
+@query(f"{BASE}, {LEXICAL}, g AS (SELECT DISTINCT query AS qid FROM golden_queries), per AS (SELECT qid, count(*) AS n, max(score) AS top FROM lexical GROUP BY qid) SELECT g.qid, coalesce(n, 0) AS n, round(coalesce(top, 0.0), 6) AS top FROM g LEFT JOIN per ON per.qid = g.qid WHERE coalesce(top, 0) < 300")
+def queries_to_widen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Golden queries that found nothing, or nothing good."""
+    q = golden(spark, sf_dir)
+    return R.weak_queries(q, R.lexical(q, now(spark, sf_dir)), 300.0).select("qid", "n", F.round("top", 6).alias("top"))
+
+
+#: Aliases of the query below; any others may be given.
+ALIASES = {"invoice": ["bill", "rechnung", "facture"], "photo": ["picture", "foto"], "resume": ["cv"], "budget": ["plan"]}
+
+
+@query(
+    f"SELECT DISTINCT query, array_to_string(list_sort(list_distinct(flatten(list_transform({TOKENS.format('query')}, lambda t: list_concat([t], CASE t "
+    + " ".join(f"WHEN '{t}' THEN {more!r}" for t, more in ALIASES.items())
+    + " ELSE [] END))))), ' ') AS tokens FROM search_completed WHERE query IS NOT NULL"
+)
+def search_expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every different past query, with their aliases."""
+    from korrel.functions import text as T
+
+    asked = table(spark, sf_dir, "search_completed").where("query IS NOT NULL").select("query").distinct()
+    return asked.select("query", F.array_join(F.array_sort(T.expanded(T.tokenize(F.col("query")), ALIASES)), " ").alias("tokens"))
