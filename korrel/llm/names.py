@@ -48,7 +48,10 @@ NICKNAMES = {
     "william": "will bill billy willi", "francisco": "paco pancho", "jorge": "jorgito", "anneliese": "anni anne liesel", "dorothea": "thea doro", "theodora": "dora theo",
     "catarina": "cati cata", "kavita": "kavi", "guillaume": "guigui", "mohammed": "mohd md mohammad muhammad mohamed", "robert": "bob rob robbie bobby",
     "johannes": "hannes johann hans", "bernhard": "berni bernd", "xavier": "xavi", "olivia": "liv livia", "nicolas": "nico nick", "siddharth": "sid siddhu", "abhishek": "abhi",
-    "lakshmi": "laxmi lucky", "manoj": "manu", "harpreet": "harry preet", "usha": "ushi", "quirin": "quiri",
+    "lakshmi": "laxmi lucky", "manoj": "manu", "harpreet": "harry preet", "usha": "ushi", "quirin": "quiri", "alexander": "alex sasha alec xander",
+    "michael": "mike mick", "christopher": "chris kit", "richard": "rick dick", "james": "jim jimmy", "charles": "charlie chuck", "edward": "ed eddie ted ned",
+    "daniel": "dan danny", "joseph": "joe joey", "samuel": "sam sammy", "benjamin": "ben benny", "anthony": "tony", "andrew": "andy drew", "patricia": "pat patty tricia",
+    "jennifer": "jen jenny", "susan": "sue susie", "rebecca": "becky", "victoria": "vicky", "friedrich": "fritz", "sebastian": "basti", "rajesh": "raju", "vijay": "viju",
 }
 FULL_NAME = {nick: name for name, nicks in NICKNAMES.items() for nick in nicks.split()}
 
@@ -107,7 +110,7 @@ def _trade_of(word: str) -> str | None:
             if t.startswith(bare) and (word.endswith(".") or bare in ("tech", "hosp", "constr", "logist", "inds", "pharma")):
                 return t
         for t in TRADES:
-            if len(bare) >= 4 and regex.sub(r"[aeiou]", "", t) == bare:
+            if regex.sub(r"[aeiou]", "", t) == bare:
                 return t
         if word.endswith(".") and len(bare) >= 3:
             for t in TRADES:  # inds. for industries: letters in order, first and last of its stem
