@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from korrel.llm.names import AROUND, FULL_NAME, LEGAL, TITLES, read, trade_of
-from korrel.operators.packed import packed_items
+from korrel.operators.packed import packed_items, places
 from korrel.session import cut
 
 LABELS = ["O", "EMAIL", "PHONE", "ID_NUMBER", "NAME_B", "NAME_I", "ADDRESS_B", "ADDRESS_I"]
@@ -552,8 +552,8 @@ def _found(doc: Document, labels: np.ndarray, blank: bool) -> list[tuple[str, st
     return sorted(out)
 
 
-def _prepared(files: DataFrame) -> tuple[DataFrame, Model]:
-    """(id, content_snip, owners, entities, blank) of every file, and the trained model."""
+def _prepared(files: DataFrame, *more: str) -> tuple[DataFrame, Model]:
+    """(id, content_snip, blank, owners, values) of every file, with the columns ``more``, and the trained model."""
     split = cut(packed_items(files, ["owner_names", "entities"]))
     mentions = split.where("field = 'owner_names'").select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("n"))
     names = known_names(mentions)
@@ -562,7 +562,7 @@ def _prepared(files: DataFrame) -> tuple[DataFrame, Model]:
         F.first(F.when(F.col("field") == "entities", F.col("items")), ignorenulls=True).alias("values"),
     )
     blank = F.coalesce(~F.col("entities").rlike(r"[,;|\t\n\"]") & ~F.trim("entities").startswith("["), F.lit(False))
-    whole = files.select("id", "content_snip", blank.alias("blank")).join(by_id, "id", "left")
+    whole = files.select("id", "content_snip", blank.alias("blank"), *more).join(by_id, "id", "left")
     # two of three with numbers in their snippet, where most kinds of items are
     rich = whole.where(F.col("content_snip").rlike(r"\p{Nd}{3}")).orderBy(F.xxhash64("id"), "id").limit(TRAIN_FILES * 2 // 3)
     sample = [*rich.collect(), *whole.orderBy(F.xxhash64(F.lit(3), "id"), "id").limit(TRAIN_FILES // 3).collect()]
@@ -580,8 +580,8 @@ def _batches(whole: DataFrame, model: Model, schema: str, make) -> DataFrame:
             for a in range(0, len(b), 2000):
                 c = b.iloc[a : a + 2000]
                 docs = [document_of(s, o, v, bl, model.names, known) for s, o, v, bl in zip(c["content_snip"], c["owners"], c["values"], c["blank"])]
-                for i, bl, d, labels in zip(c["id"], c["blank"], docs, infer(docs, model)):
-                    rows += make(i, d, labels, bl)
+                for row, d, labels in zip(c.itertuples(index=False), docs, infer(docs, model)):
+                    rows += make(row, d, labels)
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
 
     return whole.mapInPandas(scan, schema)
@@ -590,35 +590,49 @@ def _batches(whole: DataFrame, model: Model, schema: str, make) -> DataFrame:
 def personal_items(files: DataFrame) -> DataFrame:
     """(id, field, pii_type, pii_value): every item of personal data of every file."""
     whole, model = _prepared(files)
-    return _batches(whole, model, "id bigint, field string, pii_type string, pii_value string", lambda i, d, y, blank: [(i, *x) for x in _found(d, y, blank)])
+    return _batches(whole, model, "id bigint, field string, pii_type string, pii_value string", lambda row, d, y: [(row.id, *x) for x in _found(d, y, row.blank)])
 
 
 def redacted(text: str | None, found: list[tuple[str, str]]) -> str | None:
-    """``text`` with each (type, value) replaced by its typed placeholder, the longest first."""
+    """``text`` with each (type, value) replaced by its typed placeholder, the longest first. Any blanks
+    may stand for those of a value."""
     if text is None or not found:
         return text
-    kinds = {v.lower(): k for k, v in sorted(found, key=lambda x: x[0])}
-    either = "|".join(regex.escape(v) for v in sorted({v for _, v in found}, key=lambda v: (-len(v), v)))
-    return regex.sub(rf"(?<![\p{{L}}\p{{Nd}}])(?:{either})(?![\p{{L}}\p{{Nd}}])", lambda m: f"[{kinds[m.group().lower()]}]", text, flags=regex.IGNORECASE)
+    kinds = {" ".join(v.lower().split()): k for k, v in sorted(found, key=lambda x: x[0])}
+    either = "|".join(r"\s+".join(regex.escape(w) for w in v.split()) for v in sorted({v for _, v in found}, key=lambda v: (-len(v), v)))
+    return regex.sub(rf"(?<![\p{{L}}\p{{Nd}}])(?:{either})(?![\p{{L}}\p{{Nd}}])", lambda m: f"[{kinds[' '.join(m.group().lower().split())]}]", text, flags=regex.IGNORECASE)
+
+
+def redacted_values(name: str, text: str | None, values: list[str] | None, found: list[tuple[str, str]]) -> str | None:
+    """The packed field ``text`` with those of its ``values`` that were found replaced where they are
+    written, whatever protects their characters."""
+    if text is None or not found or values is None:
+        return text
+    there = places(name, text, list(values))
+    if there is None:  # the values of another row of this id
+        return redacted(text, found)
+    kinds = {v: k for k, v in sorted(found)}
+    out, last = [], 0
+    for value, (start, end) in zip(values, there[0]):
+        between = text[last:start]
+        # an object may name its owner in other members than its tokens
+        out.append(redacted(between, found) if there[1] else between)
+        kind = kinds.get(value)
+        out.append(text[start:end] if kind is None else f'"[{kind}]"' if there[1] else f"[{kind}]")
+        last = end
+    return "".join(out) + (redacted(text[last:], found) if there[1] else text[last:])
 
 
 def redacted_files(files: DataFrame) -> DataFrame:
     """(id, content_snip, owner_names, entities): the fields of every file with placeholders in
     place of personal data, otherwise unchanged."""
-    found = personal_items(files)
-    per = found.groupBy("id").agg(F.collect_list(F.struct("field", "pii_type", "pii_value")).alias("found"))  # of one file
-    joined = files.select("id", "content_snip", "owner_names", "entities").join(per, "id", "left")
+    whole, model = _prepared(files, "owner_names", "entities")
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for name in ("content_snip", "owner_names", "entities"):
-                values = []
-                for text, found in zip(b[name], b["found"]):
-                    own = [(x["pii_type"], x["pii_value"]) for x in found if x["field"] == name] if found is not None else []
-                    if name == "owner_names":  # a JSON owner is a list of tokens
-                        own += [(k, '","'.join(v.split())) for k, v in own] + [(k, '", "'.join(v.split())) for k, v in own]
-                    values.append(redacted(text, own))
-                b[name] = values
-            yield b[["id", "content_snip", "owner_names", "entities"]]
-
-    return joined.mapInPandas(scan, "id bigint, content_snip string, owner_names string, entities string")
+    def make(row, doc: Document, labels: np.ndarray) -> list[tuple]:
+        own: dict[str, list[tuple[str, str]]] = {"content_snip": [], "owner_names": [], "entities": []}
+        for name, kind, value in _found(doc, labels, row.blank):
+            own[name].append((kind, value))
+        entities = redacted(row.entities, own["entities"]) if row.blank else redacted_values("entities", row.entities, row.values, own["entities"])
+        return [(row.id, redacted(row.content_snip, own["content_snip"]), redacted_values("owner_names", row.owner_names, row.owners, own["owner_names"]), entities)]
+
+    return _batches(whole, model, "id bigint, content_snip string, owner_names string, entities string", make)

@@ -43,34 +43,52 @@ PARSES = "array<struct<dialect:string,items:array<string>,bits:double,plain:arra
 def split_quoted(text: str, separators: str, quotes: bool) -> list[tuple[str, bool]]:
     """Values of ``text`` with a mark for quoted ones. A quote opens only at the start of a value,
     a doubled quote or a backslash protects a character."""
-    out: list[tuple[str, bool]] = []
+    return [(v, q) for v, q, _, _ in split_places(text, separators, quotes)]
+
+
+def split_places(text: str, separators: str, quotes: bool) -> list[tuple[str, bool, int, int]]:
+    """The values of ``split_quoted``, each with its start and end in ``text``: within its quotes, and
+    with the backslashes of its characters."""
+    out: list[tuple[str, bool, int, int]] = []
     value: list[str] = []
+    at: list[tuple[int, int]] = []  # where each character of the value is
     quote, was_quoted, i, n = "", False, 0, len(text)
+
+    def end() -> None:
+        whole = "".join(value)
+        if own := whole.strip():
+            first = len(whole) - len(whole.lstrip())
+            out.append((own, was_quoted, at[first][0], at[first + len(own) - 1][1]))
+
     while i < n:
         c = text[i]
         if c == "\\" and i + 1 < n and (text[i + 1] in separators or text[i + 1] in "\\\"'&/ " or text[i + 1] in SEPARATORS):
             value.append(text[i + 1])
+            at.append((i, i + 2))
             i += 2
             continue
         if quote:
             if c == quote:
                 if i + 1 < n and text[i + 1] == quote:
                     value.append(quote)
+                    at.append((i, i + 2))
                     i += 2
                     continue
                 quote = ""
             else:
                 value.append(c)
+                at.append((i, i + 1))
         elif quotes and c in "\"'" and not "".join(value).strip() and not was_quoted and closes(text, i, separators):
-            value, quote, was_quoted = [], c, True
+            value, at, quote, was_quoted = [], [], c, True
         elif c in separators:
-            out.append(("".join(value), was_quoted))
-            value, was_quoted = [], False
+            end()
+            value, at, was_quoted = [], [], False
         elif not (was_quoted and c.isspace()):
             value.append(c)
+            at.append((i, i + 1))
         i += 1
-    out.append(("".join(value), was_quoted))
-    return [(v.strip(), q) for v, q in out if v.strip()]
+    end()
+    return out
 
 
 def closes(text: str, at: int, separators: str) -> bool:
@@ -100,6 +118,20 @@ def plain_bits(value: str, quoted: bool, separators: str) -> float:
     return (len(value) - bare - marks + 1) * CHAR_BITS + bare * BARE_BITS + marks * BARE_QUOTE_BITS
 
 
+def splits(field: str, text: str) -> Iterator[tuple[bool, tuple[str, ...], list[tuple[str, bool, int, int]]]]:
+    """(quotes, separators, values with their places) of all different ways to split ``text``."""
+    there = [c for c in SEPARATORS + OWN_SEPARATORS.get(field, "") if c in text]
+    seen = set()
+    for quotes in (True, False) if '"' in text or "'" in text else (True,):
+        for r in range(len(there) + 1):
+            for chosen in itertools.combinations(there, r):
+                got = split_places(text, "".join(chosen), quotes)
+                values = tuple(x[0] for x in got)
+                if values and values not in seen:
+                    seen.add(values)
+                    yield quotes, chosen, got
+
+
 def parses(field: str, text: str) -> list[dict]:
     """All different parses of ``text`` under the dialects that fit it."""
     if text is None or not text.strip():
@@ -107,26 +139,74 @@ def parses(field: str, text: str) -> list[dict]:
     if (values := listed(text)) is not None:
         return [{"dialect": "list", "items": values, "bits": 1.0, "plain": [0.0] * len(values), "clean": [True] * len(values)}] if values else []
     known = SEPARATORS + OWN_SEPARATORS.get(field, "")
-    there = [c for c in known if c in text]
-    quoted = '"' in text
-    if field in BLANK_FIELDS and not there and not quoted:
+    if field in BLANK_FIELDS and '"' not in text and not any(c in text for c in known):
         values = text.split()
         return [{"dialect": "blank", "items": values, "bits": 1.0, "plain": [0.0] * len(values), "clean": [True] * len(values)}]
-    out, seen = [], set()
-    for quotes in (True, False) if quoted or "'" in text else (True,):
-        for r in range(len(there) + 1):
-            for chosen in itertools.combinations(there, r):
-                got = split_quoted(text, "".join(chosen), quotes)
-                values = tuple(v for v, _ in got)
-                if not values or values in seen:
-                    continue
-                seen.add(values)
-                # which separators are used: one of the subsets; quotes on or off
-                bits = 1.0 + len(known) * 0.5 + len(chosen) + len(values)
-                out.append({"dialect": f"{'q' if quotes else 'n'}{','.join(str(ord(c)) for c in chosen)}", "items": list(values), "bits": bits, "plain": [plain_bits(v, q, known) for v, q in got], "clean": [q or not any(c in known or c == '"' for c in v) for v, q in got]})
+    out = []
+    for quotes, chosen, got in splits(field, text):
+        # which separators are used: one of the subsets; quotes on or off
+        bits = 1.0 + len(known) * 0.5 + len(chosen) + len(got)
+        out.append({"dialect": f"{'q' if quotes else 'n'}{','.join(str(ord(c)) for c in chosen)}", "items": [x[0] for x in got], "bits": bits, "plain": [plain_bits(v, q, known) for v, q, _, _ in got], "clean": [q or not any(c in known or c == '"' for c in v) for v, q, _, _ in got]})
     return out
 
 
+_DECODER = json.JSONDecoder()
+_JSON_BLANKS = re.compile(r"[ \t\n\r]*")
+
+
+def _after_blanks(text: str, i: int) -> int:
+    return _JSON_BLANKS.match(text, i).end()
+
+
+def _members(text: str, i: int) -> Iterator[tuple[str | None, object, int, int]]:
+    """(key, value, start, end) of the members of the JSON list or object that opens at ``i``."""
+    keyed, i = text[i] == "{", _after_blanks(text, i + 1)
+    while text[i] not in "]}":
+        key = None
+        if keyed:
+            key, i = _DECODER.raw_decode(text, i)
+            i = _after_blanks(text, _after_blanks(text, i) + 1)
+        x, end = _DECODER.raw_decode(text, i)
+        yield key, x, i, end
+        i = _after_blanks(text, end)
+        if text[i] == ",":
+            i = _after_blanks(text, i + 1)
+
+
+def places(field: str, text: str, items: list[str]) -> tuple[list[tuple[int, int]], bool] | None:
+    """(start and end in ``text`` of every one of ``items``, which a parse of it gave; whether they are
+    JSON values, with their quotes). None if no parse gives them."""
+    body = text.strip()
+    if body.startswith("[") and body.endswith("]"):
+        first = text.index("[")
+        if listed(text) != items:
+            return None
+        try:
+            json.loads(body)
+            members = list(_members(text, first))
+        except ValueError:
+            members = None
+        if members is not None and all(isinstance(x, (str, dict, int, float)) for _, x, _, _ in members):
+            out = []
+            for _, x, start, end in members:
+                if isinstance(x, dict):
+                    if not any(str(t).strip() for t in x.get("tokens") or []):
+                        continue
+                    _, tokens, start, end = [m for m in _members(text, start) if m[0] == "tokens"][-1]
+                    if isinstance(tokens, list):
+                        inner = [(a, b) for _, _, a, b in _members(text, start)]
+                        start, end = inner[0][0], inner[-1][1]
+                elif not str(x).strip():
+                    continue
+                out.append((start, end))
+            return out, True
+        return [(first + 1 + a, first + 1 + b) for _, _, a, b in split_places(body[1:-1], ",", True)], False
+    for _, _, got in splits(field, text):
+        if [x[0] for x in got] == items:
+            return [(a, b) for _, _, a, b in got], False
+    return None
+
+
 def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         yield pd.DataFrame({"field": b["field"], "raw": b["raw"], "n": b["n"], "parses": [parses(f, t) for f, t in zip(b["field"], b["raw"])]})

@@ -128,3 +128,23 @@ def test_personal_items_of_nothing(spark):
 def test_redaction_keeps_the_rest():
     assert P.redacted("Ann met Anna.", [("NAME", "Ann")]) == "[NAME] met Anna."
     assert P.redacted(None, [("NAME", "Ann")]) is None and P.redacted("x", []) == "x"
+
+
+def test_redaction_of_escaped_values(spark):
+    rows = sample(spark) + [
+        (910, "The copy is here.", "Mira\\ Solberg; Korova Foods Ltd", "kyc; mira solberg; 12 copper lane\\, nimbagaon 01012", "z"),
+        (911, "The copy is here.", '[{"tokens": ["\\u006dira", "s\\u006flberg"], "role": "PRIMARY"}]', '["kyc", "otto  \\u006cindqvist"]', "z"),
+        (912, "The copy is here.", None, "kyc  mira   solberg", "z"),
+    ]
+    files = spark.createDataFrame(rows, "id long, content_snip string, owner_names string, entities string, field string")
+    out = {r.id: r for r in P.redacted_files(files).where("id >= 910").collect()}
+    assert out[910].owner_names == "[NAME]; Korova Foods Ltd" and out[910].entities == "kyc; [NAME]; [ADDRESS]"
+    assert out[911].owner_names == '[{"tokens": ["[NAME]"], "role": "PRIMARY"}]' and out[911].entities == '["kyc", "[NAME]"]'
+    assert out[912].entities == "kyc  [NAME]"
+
+
+def test_redaction_by_place():
+    assert P.redacted_values("owner_names", '"Berg, Anna"; Anna Berg Ltd; Anna Berg', ["Berg, Anna", "Anna Berg Ltd", "Anna Berg"], [("NAME", "Berg, Anna"), ("NAME", "Anna Berg")]) == '"[NAME]"; Anna Berg Ltd; [NAME]'
+    assert P.redacted_values("owner_names", '"Anna ""Bo"" Berg" | x', ['Anna "Bo" Berg', "x"], [("NAME", 'Anna "Bo" Berg')]) == '"[NAME]" | x'
+    assert P.redacted_values("owner_names", '[ 9876543210 , {"tokens":[ "ann" , "lee" ],"by":"Ann Lee"}, "", {"role":"x"}]', ["9876543210", "ann lee"], [("PHONE", "9876543210"), ("NAME", "ann lee")]) == '[ "[PHONE]" , {"tokens":[ "[NAME]" ],"by":"[NAME]"}, "", {"role":"x"}]'
+    assert P.redacted_values("owner_names", "['Berg\\, Anna', x]", ["Berg, Anna", "x"], [("NAME", "Berg, Anna")]) == "['[NAME]', x]"
