@@ -18,6 +18,7 @@ field; the same item at two places of one text is one row; texts of any length a
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from korrel.llm.names import AROUND, FULL_NAME, LEGAL, TITLES, read, trade_of
 from korrel.operators.packed import packed_items, places
-from korrel.session import cut
+from korrel.session import cut, lookup
 
 LABELS = ["O", "EMAIL", "PHONE", "ID_NUMBER", "NAME_B", "NAME_I", "ADDRESS_B", "ADDRESS_I"]
 INDEX = {x: i for i, x in enumerate(LABELS)}
@@ -39,8 +40,11 @@ TYPES = ["", "EMAIL", "PHONE", "ID_NUMBER", "NAME", "ADDRESS"]
 
 #: Files that the weights are trained on, at most; gradient steps; rounds of skip messages.
 TRAIN_FILES, STEPS, ROUNDS = 2400, 30, 2
-#: A name is known if it is one in NAME_SHARE of all mentions, so at most NAME_SHARE are kept.
+#: Names of one mention in NAME_SHARE or more, at most NAME_SHARE, are broadcast; each file gets the
+#: rarer ones among its own words by a join.
 NAME_SHARE = 50_000
+#: Bits of the filter that keeps most other words out of that join. Only speed depends on them.
+FILTER_BITS = 1 << 23
 #: Documents inferred at once.
 BATCH = 512
 #: Reward, in log units, of equal entity types at the two ends of a skip pair.
@@ -92,7 +96,7 @@ class Token:
 
 @dataclass
 class Names:
-    """First and last names that are frequent enough, from all owners of all files."""
+    """First and last names that owners bear: the frequent ones of all files, or the rare ones of one."""
 
     first: set[str] = field(default_factory=set)
     last: set[str] = field(default_factory=set)
@@ -119,11 +123,13 @@ def shape_of(t: Token) -> str:
     return "Xx" if t.text[0].isupper() else "xx" if t.text[0].islower() else "other"
 
 
-def flag_of(t: Token, names: Names, known: dict[str, str]) -> str:
-    """What lists say of a token. ``known`` keeps what was said of words."""
+def flag_of(t: Token, names: Names, known: dict[str, str], rare: dict[str, str]) -> str:
+    """What lists say of a token. ``known`` keeps what was said of words, ``rare`` has the file's rare names."""
     if t.kind != "word":
         return t.kind
     w = t.low
+    if rare and w in rare:
+        return rare[w]
     if (flag := known.get(w)) is None:
         flag = _word_flag(w, names)
         if len(known) < 200_000:
@@ -315,7 +321,7 @@ class Document:
 
     __slots__ = ("parts", "tokens", "flags", "begins", "rows")
 
-    def __init__(self, parts: list[tuple[str, str, bool]], names: Names, known: dict[str, str]) -> None:
+    def __init__(self, parts: list[tuple[str, str, bool]], names: Names, known: dict[str, str], rare: dict[str, str]) -> None:
         self.parts = parts  # (field, text, free)
         self.tokens: list[Token] = []
         self.flags: list[str] = []
@@ -324,7 +330,7 @@ class Document:
         for where, text, free in parts:
             self.begins.append(len(self.tokens))
             own = tokens_of(text, not free)
-            flags = [flag_of(t, names, known) for t in own]
+            flags = [flag_of(t, names, known, rare) for t in own]
             self.rows += feature_rows(own, flags, where)
             self.tokens += own
             self.flags += flags
@@ -505,8 +511,9 @@ def value_type(doc: Document, labels: np.ndarray, part: int) -> str:
     return kind if n * 2 > sum(weight.values()) else ""
 
 
-def known_names(items: DataFrame) -> Names:
-    """First and last names from (item, n) of all owners: a name's usual place tells which it is."""
+def known_names(items: DataFrame) -> tuple[Names, DataFrame]:
+    """The frequent first and last names, and (word, place) of all rarer ones, from (item, n) of all
+    owners: a name's usual place tells which it is."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -529,18 +536,60 @@ def known_names(items: DataFrame) -> Names:
     per = cut(per)
     total = per.agg(F.sum("n").alias("n")).collect()[0].n or 0
     out = Names()
-    for r in per.where(F.col("n") * NAME_SHARE >= total).collect():  # at most NAME_SHARE rows
+    frequent = F.col("n") * NAME_SHARE >= total
+    for r in per.where(frequent).collect():  # at most NAME_SHARE rows
         (out.first if r.first * 2 > r.n else out.last).add(r.word)
-    return out
+    return out, per.where(~frequent).select("word", F.when(F.col("first") * 2 > F.col("n"), "first").otherwise("last").alias("place"))
+
 
+def rare_names(whole: DataFrame, rare: DataFrame) -> DataFrame:
+    """(id, rare): the rare names among the words of each file, with their places, of (word, place)."""
+    slot = F.crc32(F.encode("word", "UTF-8")) % FILTER_BITS
+    cells = rare.groupBy(F.shiftright(slot, 5).alias("cell")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(crc32(encode(word, 'UTF-8')) % {FILTER_BITS} % 32 AS INT))")).alias("bits"))
+    table = np.zeros(FILTER_BITS // 32, dtype=np.uint32)
+    for r in cells.collect():  # at most FILTER_BITS / 32 rows
+        table[r.cell] = r.bits
+    sent = whole.sparkSession.sparkContext.broadcast(table)
 
-def document_of(snippet: str | None, owners: list[str] | None, entities: list[str] | None, blank: bool, names: Names, known: dict[str, str]) -> Document:
-    """The document of a file. Entities that only blanks separate are one text."""
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table, known = sent.value, {}
+        for b in batches:
+            rows = []
+            for i, s, o, v, blank in zip(b["id"], b["content_snip"], b["owners"], b["values"], b["blank"]):
+                words = {t for _, text, free in parts_of(s, o, v, blank) for t in words_of(text, not free)}
+                for w in sorted(words):
+                    if (may := known.get(w)) is None:
+                        at = zlib.crc32(w.encode()) % FILTER_BITS
+                        may = bool(int(table[at >> 5]) >> (at & 31) & 1)
+                        if len(known) < 200_000:
+                            known[w] = may
+                    if may:
+                        rows.append((i, w))
+            yield pd.DataFrame(rows, columns=["id", "word"])
+
+    facts = cut(whole.mapInPandas(scan, "id bigint, word string"))
+    # words that only the filter took for names are entries too, so that none of them can be hot
+    entries = facts.groupBy("word").agg(F.count("*").alias("n")).join(rare, "word", "left")
+    found = lookup(facts, entries, ["word"], "n").where("place IS NOT NULL")
+    return cut(found.groupBy("id").agg(F.map_from_entries(F.collect_set(F.struct("word", "place"))).alias("rare")))
+
+
+def words_of(text: str, any_case: bool) -> list[str]:
+    """The words among ``tokens_of``, lower-cased."""
+    return [m.group().lower() for m in TOKENS[any_case, "@" in text or "(at)" in text.lower()].finditer(text) if m.lastindex == 4]
+
+
+def parts_of(snippet: str | None, owners: list[str] | None, entities: list[str] | None, blank: bool) -> list[tuple[str, str, bool]]:
+    """(field, text, free) of a file. Entities that only blanks separate are one text."""
     parts = [("content_snip", snippet, True)] if snippet and snippet.strip() else []
     parts += [("owner_names", v, False) for v in (owners if owners is not None else [])]
     values = list(entities) if entities is not None else []
-    parts += [("entities", " ".join(values), False)] if blank and values else [("entities", v, False) for v in values]
-    return Document(parts, names, known)
+    return parts + ([("entities", " ".join(values), False)] if blank and values else [("entities", v, False) for v in values])
+
+
+def document_of(snippet: str | None, owners: list[str] | None, entities: list[str] | None, blank: bool, rare: dict[str, str] | None, names: Names, known: dict[str, str]) -> Document:
+    """The document of a file."""
+    return Document(parts_of(snippet, owners, entities, blank), names, known, dict(rare) if rare is not None else {})
 
 
 def _found(doc: Document, labels: np.ndarray, blank: bool) -> list[tuple[str, str, str]]:
@@ -553,20 +602,21 @@ def _found(doc: Document, labels: np.ndarray, blank: bool) -> list[tuple[str, st
 
 
 def _prepared(files: DataFrame, *more: str) -> tuple[DataFrame, Model]:
-    """(id, content_snip, blank, owners, values) of every file, with the columns ``more``, and the trained model."""
+    """(id, content_snip, blank, owners, values, rare) of every file, with the columns ``more``, and the trained model."""
     split = cut(packed_items(files, ["owner_names", "entities"]))
     mentions = split.where("field = 'owner_names'").select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("n"))
-    names = known_names(mentions)
+    names, rare = known_names(mentions)
     by_id = split.groupBy("id").agg(
         F.first(F.when(F.col("field") == "owner_names", F.col("items")), ignorenulls=True).alias("owners"),
         F.first(F.when(F.col("field") == "entities", F.col("items")), ignorenulls=True).alias("values"),
     )
     blank = F.coalesce(~F.col("entities").rlike(r"[,;|\t\n\"]") & ~F.trim("entities").startswith("["), F.lit(False))
     whole = files.select("id", "content_snip", blank.alias("blank"), *more).join(by_id, "id", "left")
+    whole = whole.join(rare_names(whole, rare), "id", "left") if rare.limit(1).count() else whole.withColumn("rare", F.lit(None).cast("map<string,string>"))
     # two of three with numbers in their snippet, where most kinds of items are
     rich = whole.where(F.col("content_snip").rlike(r"\p{Nd}{3}")).orderBy(F.xxhash64("id"), "id").limit(TRAIN_FILES * 2 // 3)
     sample = [*rich.collect(), *whole.orderBy(F.xxhash64(F.lit(3), "id"), "id").limit(TRAIN_FILES // 3).collect()]
-    docs = [document_of(r.content_snip, r.owners, r["values"], r.blank, names, {}) for r in sample]
+    docs = [document_of(r.content_snip, r.owners, r["values"], r.blank, r.rare, names, {}) for r in sample]
     return whole, train(docs, [d.weak() for d in docs], names)
 
 
@@ -579,7 +629,7 @@ def _batches(whole: DataFrame, model: Model, schema: str, make) -> DataFrame:
             rows = []
             for a in range(0, len(b), 2000):
                 c = b.iloc[a : a + 2000]
-                docs = [document_of(s, o, v, bl, model.names, known) for s, o, v, bl in zip(c["content_snip"], c["owners"], c["values"], c["blank"])]
+                docs = [document_of(s, o, v, bl, rare, model.names, known) for s, o, v, bl, rare in zip(c["content_snip"], c["owners"], c["values"], c["blank"], c["rare"])]
                 for row, d, labels in zip(c.itertuples(index=False), docs, infer(docs, model)):
                     rows += make(row, d, labels)
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])

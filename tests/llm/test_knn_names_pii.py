@@ -148,3 +148,16 @@ def test_redaction_by_place():
     assert P.redacted_values("owner_names", '"Anna ""Bo"" Berg" | x', ['Anna "Bo" Berg', "x"], [("NAME", 'Anna "Bo" Berg')]) == '"[NAME]" | x'
     assert P.redacted_values("owner_names", '[ 9876543210 , {"tokens":[ "ann" , "lee" ],"by":"Ann Lee"}, "", {"role":"x"}]', ["9876543210", "ann lee"], [("PHONE", "9876543210"), ("NAME", "ann lee")]) == '[ "[PHONE]" , {"tokens":[ "[NAME]" ],"by":"[NAME]"}, "", {"role":"x"}]'
     assert P.redacted_values("owner_names", "['Berg\\, Anna', x]", ["Berg, Anna", "x"], [("NAME", "Berg, Anna")]) == "['[NAME]', x]"
+
+
+def test_rare_names_are_known_at_any_size(spark, monkeypatch):
+    rows = sample(spark) + [(920, "Zelda Quastenbrink-Ott paid.", '"Zelda Quastenbrink-Ott"', "kyc zelda", "z")]
+    files = spark.createDataFrame(rows, "id long, content_snip string, owner_names string, entities string, field string")
+    flags = []
+    for share in (50_000, 20):  # nothing is rare, one mention in 20 is
+        monkeypatch.setattr(P, "NAME_SHARE", share)
+        whole, model = P._prepared(files)
+        docs = [P.document_of(r.content_snip, r.owners, r["values"], r.blank, r.rare, model.names, {}) for r in whole.orderBy("id").collect()]
+        flags.append([d.flags for d in docs])
+        assert ("quastenbrink-ott" in model.names.last) == (share == 50_000)
+    assert flags[0] == flags[1] and flags[1][-1][:2] == ["first", "last"]
