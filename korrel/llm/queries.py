@@ -76,4 +76,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p4_found": p4_found, "p4_entities": p4_entities, "p3_found": p3_found, "p3_nearest": p3_nearest, "p5_found": p5_found, "p5_segments": p5_segments, "p6_found": p6_found, "p6_passages": p6_passages, "p7_mix": p7_mix, "p7_report": p7_report, "p8_found": p8_found}
-ORACLES: dict[str, str] = {}
+#: Words as the leakage operator compares them. DuckDB has no case folding, so what folding makes of
+#: letters in these tables besides lower case is written out.
+WORDS = r"""list_filter(list_transform(string_split_regex(trim(text), '\s+'), lambda w: nfc_normalize(regexp_replace(replace(replace(lower(nfc_normalize(w)), 'ß', 'ss'), 'ς', 'σ'), '^[\p{P}\p{S}\p{Z}\p{C}]+|[\p{P}\p{S}\p{Z}\p{C}]+$', '', 'g'))), lambda w: w <> '')"""
+RUNS = "SELECT DISTINCT {0}, array_to_string(words[i : i + 11], ' ') AS run FROM (SELECT {0}, words, unnest(generate_series(1, len(words) - 11)) AS i FROM (SELECT {0}, {2} AS words FROM {1}))"
+ORACLES: dict[str, str] = {"p6_found": f"SELECT DISTINCT doc_id, item_id FROM ({RUNS.format('doc_id', 'documents', WORDS)}) JOIN ({RUNS.format('item_id', 'eval_items', WORDS)}) USING (run)"}
