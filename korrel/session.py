@@ -20,12 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` in the shared folder of ``spark.checkpoint.dir``; only a session without
-    that setting (tests, one machine) gets a folder of its own."""
+    """Checkpoint ``df`` in the shared folder of ``spark.checkpoint.dir``. Only a local session (tests,
+    one machine) may leave that unset and gets a folder of its own; on a cluster it is an error."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="korrel-")
-        spark.sparkContext.setCheckpointDir(folder)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="korrel-"))
     return df.checkpoint(eager=True)
 
 
