@@ -155,13 +155,13 @@ class Graph:
         """Add the reverse of new links; a node with too many keeps diverse ones."""
         rows, cols = np.nonzero(chosen >= 0)
         to, frm = chosen[rows, cols], own[rows].astype(np.int32)
-        order = np.argsort(to, kind="stable")
+        order = np.lexsort((-np.einsum("ij,ij->i", self.x[to], self.x[frm]), to))  # the nearest first
         to, frm = to[order], frm[order]
         targets, starts, counts = np.unique(to, return_index=True, return_counts=True)
         most = links.shape[1]
         extra = np.full((len(targets), int(counts.max(initial=0))), -1, dtype=np.int32)
         extra[np.repeat(np.arange(len(targets)), counts), np.arange(len(to)) - np.repeat(starts, counts)] = frm
-        extra = extra[:, : 2 * most]
+        extra = extra[:, : 2 * most]  # those farther away would not be selected
         both = np.concatenate([links[targets], extra], axis=1)
         # a link that is there already, once
         both = np.where((both[:, :, None] == both[:, None, :]).argmax(axis=2) == np.arange(both.shape[1]), both, -1)

@@ -2,13 +2,18 @@
 
 Shards are groups of neighbouring cells around centroids that are trained on a bounded sample; all
 rows are indexed. For routing, the mean of the sample is taken off every vector: else a centroid near
-the mean would be among the nearest of vectors that have nothing in common. A vector belongs to the shards of its ``PROBES`` nearest centroids, so near
-vectors share a shard even at the border of cells. Each shard builds a graph (see ``hnsw``) and
-answers for its own members; the answers of a vector's shards are merged by exact cosine.
-
-A shard that would be too large for one task is stored in parts by hash, and its members are sent to
-every part. Exact copies are indexed once and put back into the answers, so that a group of copies of
-any size costs no more than one vector.
+the mean would be among the nearest of vectors that have nothing in common. A vector belongs to the
+shards of its ``PROBES`` nearest centroids, so near vectors share a shard even at the border of cells.
+Each shard builds a graph (see ``hnsw``) and answers for its own members; the answers of a vector's
+shards are merged by exact cosine.
+
+No task ever holds more than about ``2 * TASK_ROWS`` vectors, whatever the table. A shard with more
+members than ``TASK_ROWS`` is divided again: finer centroids are trained on a bounded sample of its
+own members, in a task of each shard, and every member goes to the leaves of its ``PROBES`` nearest
+ones. Two levels of at most ``CENTROIDS`` serve some 5e10 vectors. A leaf that is still too large is
+stored in parts by hash; parts and members meet in pairs of bounded size, so nothing is lost.
+Exact copies (two hashes of 64 bits agree) are indexed once and put back into the answers, so that a
+group of copies of any size costs no more than one vector.
 
 Defined results: null vectors, vectors with null, NaN or infinite values, all zeros, or another
 length than most take no part; fewer rows than asked for give fewer neighbours; of equally similar
@@ -26,12 +31,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from korrel.llm.hnsw import Graph
-from korrel.session import cut
-
-#: Vectors that the centroids are trained on, at most; centroids, at most; vectors of one cell, about.
-SAMPLE, CENTROIDS, CELL_ROWS = 24_000, 4096, 60
-#: Vectors of a shard, about, and at most in one task. Nearest centroids whose shards a vector joins.
-SHARD_ROWS, TASK_ROWS, PROBES = 4000, 20_000, 3
+from korrel.session import cut, lookup
+
+#: Vectors that the centroids of the first level are trained on, about; centroids of a level or of a
+#: divided shard, at most; vectors of one cell, about; sampled vectors of a centroid.
+SAMPLE, CENTROIDS, CELL_ROWS, PER_CENTROID = 24_000, 4096, 60, 12
+#: Vectors of a shard, about, and at most in one task; vectors that one task of a divided shard routes.
+#: Nearest centroids whose shards a vector joins.
+SHARD_ROWS, TASK_ROWS, ROUTE_ROWS, PROBES = 8000, 20_000, 50_000, 2
 #: Rounds of centroid training.
 ROUNDS = 3
 
@@ -91,7 +98,7 @@ def usable_vectors(rows: DataFrame, vector: str = "embedding") -> tuple[DataFram
 
 def _copies(usable: DataFrame) -> DataFrame | None:
     """(id, first, class size) of every row that has exact copies; None if no row has any."""
-    keys = usable.select("id", F.xxhash64("v").alias("h1"), F.hash("v").alias("h2"))
+    keys = usable.select("id", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(7), "v").alias("h2"))
     classes = keys.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1")
     classes = cut(classes)
     if classes.isEmpty():
@@ -108,70 +115,178 @@ def from_mean(x: np.ndarray, mean: np.ndarray) -> np.ndarray:
 def nearest_centroids(y: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     """The PROBES nearest centroids of each row."""
     probes = min(PROBES, len(centroids))
-    return np.concatenate([np.argpartition(-(y[a : a + 4096] @ centroids.T), probes - 1, axis=1)[:, :probes] for a in range(0, len(y), 4096)])
-
-
-def _routing(usable: DataFrame, rows: int, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(mean, centroids, shard of each, parts of each shard), trained on at most SAMPLE rows, about."""
-    share = min(1.0, SAMPLE / max(rows, 1))
-    drawn = usable.where(F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("v").limit(2 * SAMPLE).toArrow()
-    sample = unit_rows(drawn["v"], dims) if drawn.num_rows else np.zeros((0, dims), dtype=np.float32)
-    mean = sample.mean(axis=0) if len(sample) > 1 else np.zeros(dims, dtype=np.float32)
-    if not len(sample):
-        return mean, np.zeros((1, dims), dtype=np.float32), np.zeros(1, dtype=np.int32), np.ones(1, dtype=np.int32)
-    sample = from_mean(sample, mean)
-    k = int(min(CENTROIDS, max(1, rows // CELL_ROWS), max(1, len(sample) // 12)))
+    return np.concatenate([np.argpartition(-(y[a : a + 4096] @ centroids.T), probes - 1, axis=1)[:, :probes] for a in range(0, max(len(y), 1), 4096)])
+
+
+def drawn(rows: DataFrame, seed: int, share: float | F.Column) -> DataFrame:
+    """About ``share`` of the rows, by the hashes of their ids among all of 64 bits."""
+    return rows.where(F.xxhash64(F.lit(seed), "id") / F.lit(2.0**64) + 0.5 < share)
+
+
+def trained(sample: np.ndarray, rows: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(centroids, shard of each, estimated members of each shard) for ``rows`` vectors of which
+    ``sample`` is a part."""
     centroids = centroids_of(sample, k)
     weights = np.bincount(nearest_centroids(sample, centroids).ravel(), minlength=k) * (rows / len(sample))
     shard = shards_of(centroids, weights, SHARD_ROWS)
-    size = np.bincount(shard, weights=weights)
-    return mean, centroids, shard, np.maximum(1, np.ceil(size / TASK_ROWS)).astype(np.int32)
+    return centroids, shard, np.bincount(shard, weights=weights)
 
 
-def nearest_of_all(rows: DataFrame, most: int = 10, vector: str = "embedding") -> DataFrame:
-    """(id, near): for every usable row its ``most`` nearest other rows, an array of
-    (away = 1 - cosine, neighbour), nearest first."""
-    spark = rows.sparkSession
-    usable, count, dims = usable_vectors(rows, vector)
-    near_type = "array<struct<away:float,neighbour:bigint>>"
-    if not count:
-        return usable.select("id", F.expr(f"CAST(array() AS {near_type})").alias("near"))
-    copies = _copies(usable)
-    indexed = usable if copies is None else usable.join(copies.where("id <> first").select("id"), "id", "left_anti")
-    sent = spark.sparkContext.broadcast(_routing(usable, count, dims))
+def _routing(usable: DataFrame, rows: int, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+    """(mean, centroids, shard of each, estimated members of each shard), trained on about SAMPLE rows;
+    None if no row takes part."""
+    sample = drawn(usable, 11, min(1.0, SAMPLE / max(rows, 1))).select("v").toArrow()
+    if not sample.num_rows:
+        if usable.isEmpty():
+            return None
+        sample = usable.select("v").limit(SAMPLE).toArrow()  # few of the rows are usable
+    x = unit_rows(sample["v"], dims)
+    mean = x.mean(axis=0) if len(x) > 1 else np.zeros(dims, dtype=np.float32)
+    k = int(min(CENTROIDS, max(1, rows // CELL_ROWS), max(1, len(x) // PER_CENTROID)))
+    return mean, *trained(from_mean(x, mean), rows, k)
+
+
+def _distinct_shards(y: np.ndarray, centroids: np.ndarray, shard_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, shard) of each different shard that a row's nearest centroids belong to."""
+    shards = np.sort(shard_of[nearest_centroids(y, centroids)], axis=1)
+    first = np.ones_like(shards, dtype=bool)
+    first[:, 1:] = shards[:, 1:] != shards[:, :-1]
+    who, where = np.nonzero(first)
+    return who, shards[who, where]
+
+
+def _blobs(x: np.ndarray) -> pa.Array:
+    """The rows of a matrix as a binary column."""
+    flat = pa.py_buffer(np.ascontiguousarray(x, dtype=np.float32))
+    return pa.Array.from_buffers(pa.binary(x.shape[1] * 4), len(x), [None, flat]).cast(pa.binary())
+
+
+def _from_blobs(column: pa.ChunkedArray, dims: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float32).reshape(-1, dims)
+
+
+def members(usable: DataFrame, indexed: DataFrame, rows: int, dims: int) -> DataFrame | None:
+    """(shard, part, other, id, stored, asks, v): the vectors that each task (shard, part, other)
+    stores and those that it answers for; None if no row takes part."""
+    spark = usable.sparkSession
+    routing = _routing(usable, rows, dims)
+    if routing is None:
+        return None
+    sent = spark.sparkContext.broadcast(routing[:3])
+    most = float(routing[3].max())
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mean, centroids, shard_of, parts_of = sent.value
+        mean, centroids, shard_of = sent.value
         for b in batches:
             if not b.num_rows:
                 continue
             x = unit_rows(b.column("v"), dims)
             ids = b.column("id").to_numpy(zero_copy_only=False)
-            shards = np.sort(shard_of[nearest_centroids(from_mean(x, mean), centroids)], axis=1)
-            first = np.ones_like(shards, dtype=bool)
-            first[:, 1:] = shards[:, 1:] != shards[:, :-1]
-            who, where = np.nonzero(first)
-            shards = shards[who, where]
-            parts = parts_of[shards]
-            again = np.repeat(np.arange(len(who)), parts)
-            part = np.arange(len(again)) - np.repeat(np.cumsum(parts) - parts, parts)
-            who, shards = who[again], shards[again]
-            stored = part == (ids[who] * 2654435761 % 2**31) % parts_of[shards]
+            who, shards = _distinct_shards(from_mean(x, mean), centroids, shard_of)
             for a in range(0, len(who), 20_000):
                 w = who[a : a + 20_000]
-                flat = pa.py_buffer(np.ascontiguousarray(x[w]))
-                vectors = pa.Array.from_buffers(pa.binary(dims * 4), len(w), [None, flat]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(shards[a : a + 20_000], pa.int32()), pa.array(part[a : a + 20_000], pa.int32()), pa.array(ids[w], pa.int64()), pa.array(stored[a : a + 20_000]), vectors], names=["shard", "part", "id", "stored", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(shards[a : a + 20_000], pa.int64()), pa.array(ids[w], pa.int64()), _blobs(x[w])], names=["shard", "id", "v"])
+
+    routed = indexed.mapInArrow(route, "shard bigint, id bigint, v binary")
+    whole = (F.lit(0).alias("part"), F.lit(0).alias("other"), "id", F.lit(True).alias("stored"), F.lit(True).alias("asks"), "v")
+    # an estimate from many sampled members is safe; else all members are counted
+    if rows * PROBES * 64 <= SHARD_ROWS * min(rows, SAMPLE) and most * 2 <= TASK_ROWS:
+        return routed.select("shard", *whole)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mean, centroids, shard_of = sent.value
+        n = np.zeros(len(centroids), dtype=np.int64)
+        for b in batches:
+            if b.num_rows:
+                n += np.bincount(_distinct_shards(from_mean(unit_rows(b.column("v"), dims), mean), centroids, shard_of)[1], minlength=len(n))
+        held = np.nonzero(n)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array(n[held])], names=["shard", "n"])
+
+    # at most CENTROIDS rows
+    counts = {r.shard: r.n for r in indexed.mapInArrow(count, "shard bigint, n bigint").groupBy("shard").agg(F.sum("n").alias("n")).collect()}
+    large = {s: n for s, n in counts.items() if n > TASK_ROWS}
+    if not large:
+        return routed.select("shard", *whole)
+    small = routed.where(~F.col("shard").isin(list(large))).select("shard", *whole)
+    leaves = _leaves(routed.where(F.col("shard").isin(list(large))), indexed, large, dims, sent)
+    sizes = leaves.groupBy("shard").agg(F.count("*").alias("n"))
+    over = cut(sizes.where(F.col("n") > TASK_ROWS))
+    if over.isEmpty():
+        return small.unionByName(leaves.select("shard", *whole))
+    parts = F.ceil(F.coalesce("n", F.lit(1)) / TASK_ROWS).cast("int")
+    known = lookup(leaves, sizes.withColumn("members", F.col("n")), ["shard"], "members").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64(F.lit(5), "id"), F.col("parts")).cast("int"))
+    # a stored row meets the askers of every part, an asker the stored rows of every part
+    pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(p.alias("p")))).alias("x")
+    stored = known.select("shard", F.col("own").alias("part"), pairs, "id", "v", "own").select("shard", "part", F.col("x.p").alias("other"), "id", F.lit(True).alias("stored"), (F.col("x.p") == F.col("own")).alias("asks"), "v")
+    asking = known.select("shard", F.col("own").alias("other"), pairs, "id", "v", "own").where("x.p <> own").select("shard", F.col("x.p").alias("part"), "other", "id", F.lit(False).alias("stored"), F.lit(True).alias("asks"), "v")
+    return small.unionByName(stored).unionByName(asking)
+
+
+def _leaves(wide: DataFrame, indexed: DataFrame, large: dict[int, int], dims: int, sent) -> DataFrame:
+    """(shard, id, v): the members of the too large shards (shard, id, v) in leaves of their own. ``large``
+    has the number of members of each such shard; it has at most CENTROIDS entries."""
+    sizes = F.create_map(*[F.lit(x) for s, n in sorted(large.items()) for x in (int(s), int(n))])
+    n = sizes[F.col("shard")]
+    finer = F.least(F.lit(CENTROIDS), F.greatest(F.lit(2), F.ceil(n / CELL_ROWS)))
+
+    def learn(group: pa.Table) -> pa.Table:
+        mean = sent.value[0]
+        y = from_mean(_from_blobs(group["v"], dims), mean)
+        shard, rows = group["shard"][0].as_py(), large[group["shard"][0].as_py()]
+        k = int(min(CENTROIDS, max(2, rows // CELL_ROWS), max(1, len(y) // PER_CENTROID)))
+        centroids, leaf, _ = trained(y, rows, k)
+        return pa.table({"shard": pa.array([shard], pa.int64()), "leaf": pa.array([leaf.tolist()], pa.list_(pa.int32())), "centroids": pa.array([centroids.tobytes()], pa.binary())})
+
+    sample = drawn(wide, 13, finer * PER_CENTROID / n)
+    fine = cut(sample.groupBy("shard").applyInArrow(learn, "shard bigint, leaf array<int>, centroids binary"))
+    # as many tasks of each shard as its members need, each with the shard's centroids
+    salts = F.ceil(n / ROUTE_ROWS).cast("int")
+    salted = wide.withColumn("salt", F.pmod(F.xxhash64(F.lit(17), "id"), salts).cast("int"))
+    tables = fine.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+
+    def place(rows: pa.Table, table: pa.Table) -> pa.Table:
+        if not rows.num_rows or not table.num_rows:
+            return pa.table({"id": pa.array([], pa.int64()), "leaf": pa.array([], pa.int64()), "away": pa.array([], pa.float32())})
+        centroids = np.frombuffer(table["centroids"][0].as_py(), dtype=np.float32).reshape(-1, dims)
+        leaf_of = np.array(table["leaf"][0].as_py(), dtype=np.int64) + table["shard"][0].as_py() * 2 * CENTROIDS + CENTROIDS * CENTROIDS
+        y = from_mean(_from_blobs(rows["v"], dims), sent.value[0])
+        near = nearest_centroids(y, centroids)
+        sims = np.concatenate([np.take_along_axis(y[a : a + 4096] @ centroids.T, near[a : a + 4096], 1) for a in range(0, len(y), 4096)])
+        ids = np.repeat(rows["id"].to_numpy(), near.shape[1])
+        return pa.table({"id": pa.array(ids, pa.int64()), "leaf": pa.array(leaf_of[near].ravel(), pa.int64()), "away": pa.array((1 - sims).ravel().astype(np.float32))})
+
+    placed = salted.groupBy("shard", "salt").cogroup(tables.groupBy("shard", "salt")).applyInArrow(place, "id bigint, leaf bigint, away float")
+    # of the leaves of all its shards a vector joins those of its nearest centroids
+    best = placed.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("away", "leaf"))), 1, PROBES).alias("best"))
+    chosen = best.select("id", F.explode(F.array_distinct(F.transform("best", lambda s: s["leaf"]))).alias("shard"))
+    unit = wide.groupBy("id").agg(F.any_value("v").alias("v"))
+    return cut(chosen.join(unit, "id").select("shard", "id", "v"))
+
+
+def nearest_of_all(rows: DataFrame, most: int = 10, vector: str = "embedding") -> DataFrame:
+    """(id, near): for every usable row its ``most`` nearest other rows, an array of
+    (away = 1 - cosine, neighbour), nearest first."""
+    usable, count, dims = usable_vectors(rows, vector)
+    near_type = "array<struct<away:float,neighbour:bigint>>"
+    none = usable.select("id", F.expr(f"CAST(array() AS {near_type})").alias("near")).where("false")
+    if not count:
+        return none
+    copies = _copies(usable)
+    indexed = usable if copies is None else usable.join(copies.where("id <> first").select("id"), "id", "left_anti")
+    routed = members(usable, indexed, count, dims)
+    if routed is None:
+        return none
 
     def answer(group: pa.Table) -> pa.Table:
-        ids = group["id"].to_numpy()
-        x = np.frombuffer(b"".join(group["v"].to_pylist()), dtype=np.float32).reshape(-1, dims)
-        stored = group["stored"].to_numpy(zero_copy_only=False).astype(bool)
+        ids, x = group["id"].to_numpy(), _from_blobs(group["v"], dims)
+        stored, asks = (group[c].to_numpy(zero_copy_only=False).astype(bool) for c in ("stored", "asks"))
         order = np.argsort(ids, kind="stable")  # the same graph however the rows came
-        ids, x, stored = ids[order], x[order], stored[order]
+        ids, x, stored, asks = ids[order], x[order], stored[order], asks[order]
         graph = Graph(x[stored])
         own = ids[stored]
-        outs = [(own, *graph.neighbours(most))]
+        outs = []
+        if asks[stored].any():  # all or none of the stored ones ask
+            outs.append((own, *graph.neighbours(most)))
         if not stored.all():
             outs.append((ids[~stored], *graph.nearest(x[~stored], most)))
         lists, whose = [], []
@@ -187,8 +302,7 @@ def nearest_of_all(rows: DataFrame, most: int = 10, vector: str = "embedding") -
             return pa.table({"id": pa.array([], pa.int64()), "near": pa.array([], pa.list_(pa.struct([("away", pa.float32()), ("neighbour", pa.int64())])))})
         return pa.table({"id": pa.chunked_array(whose), "near": pa.chunked_array(lists)})
 
-    routed = indexed.mapInArrow(route, "shard int, part int, id bigint, stored boolean, v binary")
-    answers = routed.groupBy("shard", "part").applyInArrow(answer, f"id bigint, near {near_type}")
+    answers = routed.groupBy("shard", "part", "other").applyInArrow(answer, f"id bigint, near {near_type}")
     merged = answers.groupBy("id").agg(F.flatten(F.collect_list("near")).alias("all"))  # at most PROBES lists (times parts)
     rounded = F.transform("all", lambda s: F.struct(F.round(s["away"], 6).alias("away"), s["neighbour"].alias("neighbour")))
     found = merged.select("id", F.slice(F.array_sort(F.array_distinct(rounded)), 1, most).alias("near"))

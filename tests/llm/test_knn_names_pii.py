@@ -59,6 +59,24 @@ def test_copies_and_large_shards(spark, monkeypatch):
     assert np.mean([len(set(got[i]) & set(want[i])) / 10 for i in rest]) >= 0.9
 
 
+def test_groups_stay_bounded(spark, monkeypatch):
+    for name, value in {"SAMPLE": 240, "TASK_ROWS": 120, "SHARD_ROWS": 60, "ROUTE_ROWS": 200, "CENTROIDS": 8, "CELL_ROWS": 20}.items():
+        monkeypatch.setattr(knn, name, value)
+    x = clustered(1500)
+    usable, count, dims = knn.usable_vectors(vectors(spark, x))
+    sizes = knn.members(usable, usable, count, dims).groupBy("shard", "part", "other").count().collect()
+    assert max(r["count"] for r in sizes) <= 2 * 120
+    got = {r.id: [n.neighbour for n in r.near] for r in knn.nearest_of_all(vectors(spark, x)).collect()}
+    want = brute(x, 10)
+    assert np.mean([len(set(got[i]) & set(want[i])) / 10 for i in range(1500)]) >= 0.9
+
+
+def test_sample_of_huge_tables(spark):
+    rows = spark.range(200_000)
+    assert 150 < knn.drawn(rows, 11, 0.001).count() < 250
+    assert knn.drawn(rows, 11, 1.0).count() == 200_000 and knn.drawn(rows, 11, 24_000 / 6e10).count() == 0
+
+
 def test_few_and_no_vectors(spark):
     assert knn.similar_pairs(vectors(spark, clustered(2))).collect() == [(0, 1)]
     assert knn.similar_pairs(vectors(spark, clustered(1))).count() == 0
