@@ -8,7 +8,8 @@ blocks in the corpus) decides on each. Text in quotes or brackets holds no candi
 
 The model is trained on *reliable* candidates only: ends of paragraphs, strong marks before a
 capital, and marks before a small letter or after a title, on the documents of the smallest hashes
-(``TRAIN_DOCS``). The counts of words at block starts and ends are taken over all documents.
+(``TRAIN_DOCS``). The counts of words at block starts and ends are taken over all documents, in a
+sketch of fixed size; what is said of a word counts from EVIDENCE uses on, however large the corpus.
 
 Defined results: null, empty and blank texts have no units; a paragraph without end marks is one
 unit; a mark or bracket without its partner is an ordinary character; units never overlap and hold
@@ -17,21 +18,26 @@ every non-blank character of the text; repeated documents give the same units un
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from korrel.session import cut
-
 #: The most documents the model is trained on.
 TRAIN_DOCS = 4000
-#: A word is counted if it is one in COMMON of all block starts (or marks), so at most COMMON are kept.
-COMMON = 10_000
+#: Uses of a word from which its counts are believed: among so few, a word that may end a block with a
+#: chance of one in five is never seen to do so once in a hundred times.
+EVIDENCE = 20
+#: Rows and slots of the sketch of counts: a word counts in one slot of each row, the least is taken. All
+#: words share the slots, so rare words are overrated by the mean of a slot: of a corpus with a million
+#: words of one use each, by 4 uses.
+ROWS, SLOTS = 2, 1 << 18
 
 # Abbreviations that stand before what they belong to, and those that may end a sentence.
 BEFORE = set(
@@ -55,6 +61,8 @@ DEVANAGARI, THAI = regex.compile(r"\p{Devanagari}"), regex.compile(r"[\p{Thai}\p
 CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
 FILE = regex.compile(r"^[A-Za-z\d][\w\-.()]*\.[a-z][a-z\d]{1,4}\b")
 LETTERS = regex.compile(r"[\p{L}\p{M}]+")
+LETTER, DIGITS, STOP, BLANKS = regex.compile(r"\p{L}"), regex.compile(r"\d+"), regex.compile(r"\."), regex.compile(r"\s+")
+PAIRED = regex.compile(r"[\"“”„«»‹›「」『』()（）\[\]{}【】《》]")
 #: Repetition mark that stands after a blank but belongs to the word before.
 THAI_REPEAT = "ๆ"
 
@@ -80,12 +88,60 @@ class Candidate:
     opened: int = -1
 
 
-@dataclass
-class Counts:
-    """How often words start and end blocks, as shares; only of common words."""
+def slots_of(word: str) -> list[int]:
+    """The slot of a word in each row of the sketch."""
+    h = xxhash.xxh64_intdigest(word)
+    return [h >> 20 * r & SLOTS - 1 for r in range(ROWS)]
 
-    starts: dict[str, float] = field(default_factory=dict)
-    ends: dict[str, float] = field(default_factory=dict)
+
+class Counts:
+    """How often words start blocks, and how often what stands before an end mark ends one."""
+
+    def __init__(self, cells: Iterable[tuple[str, int, int, int, int]] = ()) -> None:
+        """``cells``: (start or end, row, slot, uses, of these at the end of a block)."""
+        self.uses = {"start": np.zeros((ROWS, SLOTS), dtype=np.int64), "end": np.zeros((ROWS, SLOTS), dtype=np.int64)}
+        self.last = np.zeros((ROWS, SLOTS), dtype=np.int64)
+        for what, row, slot, n, last in cells:
+            self.uses[what][row, slot] += n
+            if what == "end":
+                self.last[row, slot] += last
+        self.total = max(int(self.uses["start"][0].sum()), 1)
+        self.held: dict[tuple[str, str], float | None] = {}
+
+    def share(self, what: str, word: str) -> float | None:
+        """Of all block starts the share of a word, or the share of a word's marks that end a block; None
+        for words of fewer than EVIDENCE uses. What was found is kept for up to 200,000 words."""
+        key = (what, word)
+        if key not in self.held:
+            if len(self.held) >= 200_000:
+                self.held.clear()
+            places = list(enumerate(slots_of(word)))
+            n, (r, k) = min((int(self.uses[what][r, k]), (r, k)) for r, k in places)
+            self.held[key] = None if n < EVIDENCE else n / self.total if what == "start" else int(self.last[r, k]) / n
+        return self.held[key]
+
+
+def cells_of(seen: dict[tuple[str, str, bool], int]) -> list[tuple[str, int, int, int, int]]:
+    """The cells of ``Counts`` from {(start or end, word, at the end of a block): uses}."""
+    out: dict[tuple[str, int, int], list[int]] = {}
+    for (what, word, last), n in seen.items():
+        for r, k in enumerate(slots_of(word)):
+            cell = out.setdefault((what, r, k), [0, 0])
+            cell[0] += n
+            cell[1] += n * last
+    return [(*key, n, last) for key, (n, last) in out.items()]
+
+
+def count_text(text: str | None, seen: dict[tuple[str, str, bool], int]) -> None:
+    """Count the words at the block starts and before the end marks of a text."""
+    for block in blocks(text or ""):
+        if block.kind == "text":
+            key = ("start", first_key(word_after(text, block.start, block.end)), True)
+            seen[key] = seen.get(key, 0) + 1
+        for m in STOP.finditer(text, block.start, block.end):
+            if m.end() == block.end or text[m.end()].isspace():
+                key = ("end", last_key(word_before(text, m.start(), block.start)[0]), m.end() == block.end)
+                seen[key] = seen.get(key, 0) + 1
 
 
 def blocks(text: str) -> list[Block]:
@@ -137,8 +193,8 @@ def spans(text: str, start: int, end: int) -> list[tuple[int, int]]:
     stack: list[tuple[str, int]] = []
     pairs: list[tuple[int, int]] = []
     straight = -1
-    for i in range(start, end):
-        c = text[i]
+    for m in PAIRED.finditer(text, start, end):
+        i, c = m.start(), m.group()
         if c == '"':
             if straight < 0:
                 straight = i
@@ -187,7 +243,7 @@ def candidates(text: str, block: Block) -> list[Candidate]:
         free = b + 1
     if THAI.search(text, block.body, block.end):
         held = {c.end for c in out}
-        for m in regex.finditer(r"\s+", text, pos=block.body, endpos=block.end):
+        for m in BLANKS.finditer(text, block.body, block.end):
             i, j = m.start(), m.end()
             if i in held or any(a < i < b for a, b in inner) or text[j] == THAI_REPEAT:
                 continue
@@ -220,6 +276,7 @@ def word_after(text: str, at: int, end: int) -> str:
     return text[at:j]
 
 
+@lru_cache(1 << 16)
 def first_key(word: str) -> str:
     """By what a word's block starts are counted: Latin words whole, others by their first characters."""
     word = word.lstrip("\"'“„«»(（[「『‘’—¿¡").lower()
@@ -229,14 +286,16 @@ def first_key(word: str) -> str:
         return word[:2]
     if THAI.match(word):
         return word[:5]
-    return regex.sub(r"\d+", "0", word.rstrip(".,;:!?।”\"»)"))[:12]
+    return DIGITS.sub("0", word.rstrip(".,;:!?।”\"»)"))[:12]
 
 
+@lru_cache(1 << 16)
 def last_key(word: str) -> str:
     """By what a word's block ends are counted."""
-    return regex.sub(r"\d+", "0", word.lower())[-12:]
+    return DIGITS.sub("0", word.lower())[-12:]
 
 
+@lru_cache(1 << 16)
 def shape(word: str) -> str:
     """The class of a word by its first character."""
     if not word:
@@ -268,33 +327,50 @@ def level(share: float | None) -> str:
     return "none" if not share else "0" if share < 0.002 else "1" if share < 0.02 else "2" if share < 0.1 else "3"
 
 
-def features(text: str, c: Candidate, unit: int, following: str, counts: Counts) -> list[str]:
-    """The features of a candidate in a unit that starts at ``unit``, with the word that follows."""
+@lru_cache(1 << 16)
+def ending(word: str) -> tuple[str, str]:
+    """(abbreviation, kind) of a word before a mark."""
+    k = word.lower()
+    bare = k.rstrip(".")
+    abbreviation = "may" if bare in MAY_END else "before" if bare in BEFORE else "no"
+    if k[:1].isdigit() and not LETTER.search(k):
+        return abbreviation, "digit"
+    if len(bare) == 1:
+        return abbreviation, "one"
+    if "." in bare:
+        return abbreviation, "dotted" if len(bare) <= 8 and not DIGITS.search(bare) else "file"
+    return abbreviation, "thai" if THAI.search(word[-1:]) else "short" if len(bare) <= 3 else "long"
+
+
+def facts(text: str, c: Candidate, unit: int, following: str, counts: Counts) -> tuple[str, ...]:
+    """What the features of a candidate are made of, in a unit that starts at ``unit``, with the word
+    that follows. Each fact is one of a few."""
     w1, at1 = word_before(text, c.at, unit)
     w2 = word_before(text, at1 - 1, unit)[0] if at1 - 1 > unit else ""
     mark = text[c.at : c.end].strip(CLOSERS)[:1] if c.kind != "blank" else "_"
     long_mark = c.kind == "mark" and c.end - c.at > 1 and mark in ".…"
-    k1, s2 = w1.lower(), shape(following)
-    bare = k1.rstrip(".")
-    abbreviation = "may" if bare in MAY_END else "before" if bare in BEFORE else "no"
-    if mark not in ".":
-        abbreviation = "-"
-    kind1 = "digit" if k1[:1].isdigit() and not regex.search(r"\p{L}", k1) else "one" if len(bare) == 1 else "dotted" if "." in bare and len(bare) <= 8 and not regex.search(r"\d", bare) else "file" if "." in bare else "thai" if THAI.search(w1[-1:]) else "short" if len(bare) <= 3 else "long"
-    b2 = w2.lower().rstrip(".")
-    second = "abbr" if w2.endswith(".") and b2 in BEFORE else "start" if not w2 else "word"
-    starts = level(counts.starts.get(first_key(following)))
-    ends = level(counts.ends.get(last_key(w1))) if mark == "." else "-"
-    known = "k" if last_key(w1) in counts.ends else "u"
-    out = [
-        "bias", f"mark={mark}{long_mark}", f"kind={c.kind}", f"abbr={abbreviation}", f"k1={kind1}", f"s2={s2}", f"starts={starts}", f"ends={ends}{known}",
-        f"abbr,s2={abbreviation},{s2}", f"k1,s2={kind1},{s2}", f"k1,second,s2={kind1},{second},{s2}", f"k1,starts={kind1},{starts}",
-        f"mark,s2={mark}{long_mark},{s2}", f"kind,starts,s2={c.kind},{starts},{s2}", f"k1,ends={kind1},{ends}{known}",
-    ]
+    abbreviation, kind1 = ending(w1)
+    second = "abbr" if w2.endswith(".") and w2.lower().rstrip(".") in BEFORE else "start" if not w2 else "word"
+    share = counts.share("end", last_key(w1))
+    lead = ""
     if c.opened >= 0:
         before = text[unit : c.opened].rstrip()
         lead = "none" if not before else "colon" if before[-1] in ":：,，،" else "cjk" if CJK.match(before[-1]) else "word"
-        out += [f"lead={lead}", f"lead,s2={lead},{s2}"]
-    return out
+    return (
+        f"{mark}{long_mark}", c.kind, abbreviation if mark in "." else "-", kind1, second, shape(following), level(counts.share("start", first_key(following))),
+        f"{level(share) if mark == '.' else '-'}{'u' if share is None else 'k'}", lead,
+    )
+
+
+def features(own: tuple[str, ...]) -> list[str]:
+    """The features of a candidate: its facts, and some of them together."""
+    mark, kind, abbreviation, kind1, second, s2, starts, ends, lead = own
+    out = [
+        "bias", f"mark={mark}", f"kind={kind}", f"abbr={abbreviation}", f"k1={kind1}", f"s2={s2}", f"starts={starts}", f"ends={ends}",
+        f"abbr,s2={abbreviation},{s2}", f"k1,s2={kind1},{s2}", f"k1,second,s2={kind1},{second},{s2}", f"k1,starts={kind1},{starts}",
+        f"mark,s2={mark},{s2}", f"kind,starts,s2={kind},{starts},{s2}", f"k1,ends={kind1},{ends}",
+    ]
+    return out + ([f"lead={lead}", f"lead,s2={lead},{s2}"] if lead else [])
 
 
 def label(text: str, c: Candidate, unit: int, following: str, counts: Counts) -> int | None:
@@ -321,15 +397,16 @@ def label(text: str, c: Candidate, unit: int, following: str, counts: Counts) ->
         return 0
     if mark == "." and len(bare) == 1 and bare.isalpha() and s2 == "upper" and not (at1 - 1 > unit and word_before(text, at1 - 1, unit)[0].lower().rstrip(".") in BEFORE):
         return 0
-    if mark == "." and len(bare) >= 5 and LETTERS.fullmatch(bare) and s2 in ("upper", "file", "other") and bare not in MAY_END and counts.ends.get(last_key(w1), 1.0) > 0:
+    if mark == "." and len(bare) >= 5 and LETTERS.fullmatch(bare) and s2 in ("upper", "file", "other") and bare not in MAY_END and counts.share("end", last_key(w1)) != 0:
         return 1  # a long word that isn't one that never ends a block
     if mark in STRONG and s2 in ("upper", "other", "cjk", "thai", "file"):
         return 1
     return None
 
 
-def units(text: str | None, weights: dict[str, float], counts: Counts) -> list[tuple[int, int]]:
-    """(start, end) of the sentence units of a text."""
+def units(text: str | None, weights: dict[str, float], counts: Counts, known: dict[tuple[str, ...], bool] | None = None) -> list[tuple[int, int]]:
+    """(start, end) of the sentence units of a text. ``known`` keeps what was decided on equal facts."""
+    known = {} if known is None else known
     if not text or not text.strip():
         return []
     out = []
@@ -339,7 +416,10 @@ def units(text: str | None, weights: dict[str, float], counts: Counts) -> list[t
             following = word_after(text, c.end, block.end)
             if not following or c.end <= unit:
                 continue
-            if sum(weights.get(f, 0.0) for f in features(text, c, max(unit, block.body), following, counts)) > 0:
+            own = facts(text, c, max(unit, block.body), following, counts)
+            if own not in known:
+                known[own] = sum(weights.get(f, 0.0) for f in features(own)) > 0
+            if known[own]:
                 out.append((unit, c.end))
                 unit = c.end
                 while text[unit].isspace():
@@ -361,7 +441,7 @@ def examples(text: str | None, counts: Counts) -> Iterator[tuple[list[str], int]
                 continue
             y = label(text, c, unit, following, counts)
             if y is not None:
-                yield features(text, c, unit, following, counts), y
+                yield features(facts(text, c, unit, following, counts)), y
             if y == 1:
                 unit = c.end
                 while text[unit].isspace():
@@ -373,9 +453,9 @@ def examples(text: str | None, counts: Counts) -> Iterator[tuple[list[str], int]
             while at > unit and text[at - 1] in MARKS:
                 at -= 1
             if at < end and not (text[at - 1] in CLOSERS):
-                yield features(text, Candidate(end, at, "mark"), unit, following, counts), 1
+                yield features(facts(text, Candidate(end, at, "mark"), unit, following, counts)), 1
             elif at == end and THAI.match(text[end - 1]):
-                yield features(text, Candidate(end, end, "blank"), unit, following, counts), 1
+                yield features(facts(text, Candidate(end, end, "blank"), unit, following, counts)), 1
 
 
 def fit(data: list[tuple[list[str], int]], rounds: int = 300, rate: float = 0.5, l2: float = 1e-4) -> dict[str, float]:
@@ -404,33 +484,18 @@ def fit(data: list[tuple[list[str], int]], rounds: int = 300, rate: float = 0.5,
 
 
 def count_words(documents: DataFrame) -> Counts:
-    """Shares of words at block starts and before end marks, over all documents."""
+    """Words at block starts and before end marks, over all documents."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             seen: dict[tuple[str, str, bool], int] = {}
             for text in b["text"]:
-                for block in blocks(text or ""):
-                    if block.kind == "text":
-                        key = ("start", first_key(word_after(text, block.start, block.end)), True)
-                        seen[key] = seen.get(key, 0) + 1
-                    for m in regex.finditer(r"\.(?=\s)|\.$", text[block.start : block.end]):
-                        key = ("end", last_key(word_before(text, block.start + m.start(), block.start)[0]), m.end() == block.end - block.start)
-                        seen[key] = seen.get(key, 0) + 1
-            yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["what", "word", "last", "n"])
-
-    counted = documents.select("text").mapInPandas(scan, "what string, word string, last boolean, n bigint")
-    per = counted.groupBy("what", "word").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("last"), F.col("n")).otherwise(0)).alias("last"))
-    per = cut(per)
-    totals = {r.what: r.n for r in per.groupBy("what").agg(F.sum("n").alias("n")).collect()}
-    out = Counts()
-    for what, total in totals.items():
-        for r in per.where((F.col("what") == what) & (F.col("n") * COMMON >= total)).collect():  # at most COMMON rows
-            if what == "start":
-                out.starts[r.word] = r.n / total
-            else:
-                out.ends[r.word] = r.last / r.n
-    return out
+                count_text(text, seen)
+            yield pd.DataFrame(cells_of(seen), columns=["what", "row", "slot", "n", "last"])
+
+    counted = documents.select("text").mapInPandas(scan, "what string, row int, slot int, n bigint, last bigint")
+    cells = counted.groupBy("what", "row", "slot").agg(F.sum("n").alias("n"), F.sum("last").alias("last")).toArrow()  # at most 2 * ROWS * SLOTS rows
+    return Counts(zip(*[cells[c].to_pylist() for c in ("what", "row", "slot", "n", "last")]))
 
 
 def train(documents: DataFrame, counts: Counts, most: int = TRAIN_DOCS) -> dict[str, float]:
@@ -444,12 +509,13 @@ def sentence_units(documents: DataFrame, most: int = TRAIN_DOCS) -> DataFrame:
     """(doc_id, start_pos, end_pos): the sentence units of every document."""
     counts = count_words(documents)
     weights = train(documents, counts, most)
-    sent = documents.sparkSession.sparkContext.broadcast((weights, counts.starts, counts.ends))
+    counts.held.clear()
+    sent = documents.sparkSession.sparkContext.broadcast((weights, counts))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weights, starts, ends = sent.value
-        own = Counts(starts, ends)
+        weights, counts = sent.value
+        known: dict[tuple[str, ...], bool] = {}
         for b in batches:
-            yield pd.DataFrame([(d, *u) for d, t in zip(b["doc_id"], b["text"]) for u in units(t, weights, own)], columns=["doc_id", "start_pos", "end_pos"])
+            yield pd.DataFrame([(d, *u) for d, t in zip(b["doc_id"], b["text"]) for u in units(t, weights, counts, known)], columns=["doc_id", "start_pos", "end_pos"])
 
     return documents.select("doc_id", "text").mapInPandas(scan, "doc_id bigint, start_pos int, end_pos int")

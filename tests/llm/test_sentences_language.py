@@ -17,15 +17,10 @@ def corpus():
 
 
 def model(texts):
-    counts = S.Counts()
-    starts, ends = {}, {}
+    seen = {}
     for t in texts:
-        for b in S.blocks(t):
-            k = S.first_key(S.word_after(t, b.start, b.end))
-            starts[k] = starts.get(k, 0) + 1
-    total = sum(starts.values())
-    counts.starts = {k: n / total for k, n in starts.items()}
-    counts.ends = ends
+        S.count_text(t, seen)
+    counts = S.Counts(S.cells_of(seen))
     return S.fit([e for t in texts for e in S.examples(t, counts)], 150), counts
 
 
@@ -59,6 +54,14 @@ def test_units_cover_every_character_once(text):
     assert sum(not c.isspace() for a, b in got for c in text[a:b]) == sum(not c.isspace() for c in text)
 
 
+def test_counts_need_evidence_and_no_share_of_the_corpus():
+    seen = {("start", "the", True): 50, ("start", "rare", True): S.EVIDENCE - 1, ("end", "abk", False): 30, ("end", "day", True): 10, ("end", "day", False): 30}
+    for more in (0, 10**7):  # a word of any corpus size
+        counts = S.Counts(S.cells_of(seen | {("start", "a", True): more, ("end", "b", True): more}))
+        assert counts.share("end", "abk") == 0 and counts.share("end", "day") == 0.25 and counts.share("end", "none") is None
+        assert counts.share("start", "rare") is None and abs(counts.share("start", "the") - 50 / (69 + more)) < 1e-9
+
+
 def test_held_out_accuracy():
     right = total = 0
     for i in range(200, 240):
