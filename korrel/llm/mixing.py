@@ -7,9 +7,10 @@ order, in passes; a pass is repeated as often as the cap allows.
 The tokens of a source are cut into blocks of equal size, and the blocks of all sources are
 interleaved by Pfair scheduling: with weight w, block i of a source is released at slot floor(i/w)
 and due at slot ceil((i+1)/w), and every slot takes the released block that is due first. So after
-any number of slots each source is less than one block away from its share. Weights are whole
-multiples of 1/FRAME; the schedule then repeats every FRAME slots, so only one frame is computed
-and every block finds its slot by arithmetic, on the executors.
+any number of slots each source is less than one block away from its share. Weights are exact
+fractions of the target shares. How many blocks of each source come before every FRAME-th slot is
+found in one pass over the frames, a few numbers of each; the frames between are scheduled where
+their documents are, on the executors.
 
 Defined results: documents with null, unknown or untargeted source, or without tokens, take no part;
 a source without documents gets nothing, and the other shares grow in proportion; a null cap is 1;
@@ -19,8 +20,12 @@ no targets or no documents give an empty mix. A document belongs to the block in
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from fractions import Fraction
+from functools import lru_cache
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,46 +33,78 @@ from pyspark.sql import functions as F
 from korrel.llm.tokens import VOCABULARY, with_token_counts
 from korrel.session import cut
 
-#: Slots after which the schedule repeats; weights are multiples of its inverse.
-FRAME = 10_000
+#: Slots that are scheduled together, and slots after a boundary for which room is looked for.
+FRAME, LOOK = 16_384, 2000
 #: Tokens of a block.
 BLOCK_TOKENS = 2048
 #: Documents of a source in one bucket of the running totals, about.
 BUCKET_DOCS = 20_000
 
 
-def weights_of(shares: dict[str, float], frame: int = FRAME) -> dict[str, int]:
-    """Slots of each source in a frame: largest remainders, at least one for a positive share."""
-    total = sum(shares.values())
-    if total <= 0:
-        return {}
-    exact = {s: Fraction(x).limit_denominator(10**9) / Fraction(total).limit_denominator(10**9) * frame for s, x in shares.items() if x > 0}
-    slots = {s: max(1, int(x)) for s, x in exact.items()}
-    by_rest = sorted(exact, key=lambda s: (-(exact[s] - int(exact[s])), s))
-    left = frame - sum(slots.values())
-    for k in range(abs(left)):
-        s = by_rest[k % len(by_rest)] if left > 0 else max(slots, key=lambda s: (slots[s], s))
-        slots[s] += 1 if left > 0 else -1
-    return slots
-
-
-def frame_schedule(slots: dict[str, int]) -> list[tuple[str, int, int]]:
-    """(source, block in frame, slot in frame) of one frame, by earliest deadline first."""
-    frame = sum(slots.values())
-    released_at: dict[int, list[str]] = {}
-    following = dict.fromkeys(slots, 0)
-    for s in sorted(slots):
-        released_at.setdefault(0, []).append(s)
+def weights_of(shares: dict[str, float]) -> dict[str, Fraction]:
+    """The exact weight of each source with a positive share; they sum to 1."""
+    exact = {s: Fraction(x) for s, x in sorted(shares.items()) if x > 0}
+    total = sum(exact.values())
+    return {s: x / total for s, x in exact.items()}
+
+
+def release(i: int, w: Fraction) -> int:
+    """The slot from which block ``i`` may be taken."""
+    return i * w.denominator // w.numerator
+
+
+def deadline(i: int, w: Fraction) -> int:
+    """The slot before which block ``i`` must have been taken."""
+    return -(-(i + 1) * w.denominator // w.numerator)
+
+
+def boundaries(weights: dict[str, Fraction], blocks: dict[str, int], frame: int = FRAME) -> dict[str, list[int]]:
+    """For each source how many of its blocks come before slots 0, frame, 2 * frame and so on, until all
+    have had at least ``blocks``. Each number is the share of the slots rounded down or up."""
+    out = {s: [0] for s in weights}
+    at = 0
+    while any(out[s][-1] < blocks.get(s, 0) for s in weights):
+        at += frame
+        down = {s: at * w.numerator // w.denominator for s, w in weights.items()}
+        early = {s for s in weights if out[s][-1] > down[s]}  # has had its block before the last boundary
+        up = early | _taken(weights, down, early, at)
+        for s in weights:
+            out[s].append(down[s] + (s in up))
+    return out
+
+
+def _taken(weights: dict[str, Fraction], down: dict[str, int], early: set[str], at: int) -> set[str]:
+    """The sources whose block that is open at slot ``at`` comes before it. What is left must fit
+    the slots after: so of the blocks due by any slot as many must come before as would not fit. Of
+    those that may, the ones released first come before."""
+    ends = {s: deadline(down[s], w) for s, w in weights.items() if s not in early and at * w.numerator % w.denominator}
+    by_release = sorted(ends, key=lambda s: (release(down[s], weights[s]), ends[s], s))
+    wanted = at - sum(down.values()) - len(early)
+    taken: set[str] = set()
+    for b in range(at + 1, min(max(ends.values(), default=at), at + LOOK) + 1):
+        prefix = [s for s in by_release if ends[s] <= b]
+        inner = sum(max(0, b * w.numerator // w.denominator + (-at * w.numerator // w.denominator)) for w in weights.values())
+        over = len([s for s in prefix if s not in taken]) + inner - (b - at)
+        taken |= {s for s in [s for s in prefix if s not in taken][: max(over, 0)]}
+    return taken | set([s for s in by_release if s not in taken][: max(wanted - len(taken), 0)])
+
+
+def frame_schedule(weights: dict[str, Fraction], first: dict[str, int], after: dict[str, int], start: int) -> dict[str, list[int]]:
+    """The slots of the blocks ``first`` to ``after`` (exclusive) of each source in the frame that begins
+    at slot ``start``, by earliest deadline first."""
+    size = sum(after[s] - first[s] for s in weights)
+    waiting: list[tuple[int, str]] = [(max(start, release(first[s], w)), s) for s, w in weights.items() if first[s] < after[s]]
+    heapq.heapify(waiting)
     due: list[tuple[int, str]] = []
-    out = []
-    for slot in range(frame):
-        for s in released_at.pop(slot, []):
-            heapq.heappush(due, (-(-(following[s] + 1) * frame // slots[s]), s))
+    out: dict[str, list[int]] = {s: [] for s in weights}
+    for slot in range(start, start + size):
+        while waiting and (waiting[0][0] <= slot or not due):
+            _, s = heapq.heappop(waiting)
+            heapq.heappush(due, (deadline(first[s] + len(out[s]), weights[s]), s))
         _, s = heapq.heappop(due)
-        out.append((s, following[s], slot))
-        following[s] += 1
-        if following[s] < slots[s]:
-            released_at.setdefault(max(slot + 1, following[s] * frame // slots[s]), []).append(s)
+        out[s].append(slot)
+        if (following := first[s] + len(out[s])) < after[s]:
+            heapq.heappush(waiting, (release(following, weights[s]), s))
     return out
 
 
@@ -76,10 +113,10 @@ def _plan(documents: DataFrame, targets: DataFrame, path: str) -> tuple[DataFram
     aims = [r.asDict() for r in targets.where("source IS NOT NULL").groupBy("source").agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("repeats")).collect()]
     counted = with_token_counts(documents.select("doc_id", "source", "text"), path=path).drop("text")
     counted = cut(counted.where(F.col("source").isin([a["source"] for a in aims])).where("n_tokens > 0"))
-    have = {r.source: (r.n, r.tokens) for r in counted.groupBy("source").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens")).collect()}
+    have = {r.source: (r.n, r.tokens, r.longest) for r in counted.groupBy("source").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens"), F.max("n_tokens").alias("longest")).collect()}
     for a in aims:
         a["share"], a["repeats"] = max(a["share"] or 0.0, 0.0), max(a["repeats"] or 1, 1)
-        a["docs"], a["tokens"] = have.get(a["source"], (0, 0))
+        a["docs"], a["tokens"], a["longest"] = have.get(a["source"], (0, 0, 0))
     active = sum(a["share"] for a in aims if a["tokens"])
     sizes = [a["tokens"] * a["repeats"] * active / a["share"] for a in aims if a["tokens"] and a["share"]]
     total = min(sizes, default=0)
@@ -99,10 +136,11 @@ def _mixed(documents: DataFrame, targets: DataFrame, path: str, block_tokens: in
     spark = documents.sparkSession
     counted, aims = _plan(documents, targets, path)
     used = [a for a in aims if a["need"]]
-    slots = weights_of({a["source"]: a["share"] for a in used})
-    # bounded: one row per targeted source, and one per slot of a frame
-    aim = spark.createDataFrame([(a["source"], a["need"], a["tokens"], slots[a["source"]], max(1, a["docs"] // BUCKET_DOCS)) for a in used], "source string, need bigint, have bigint, slots bigint, buckets bigint")
-    frame = spark.createDataFrame(frame_schedule(slots), "source string, block_in_frame bigint, slot_in_frame bigint")
+    weights = weights_of({a["source"]: a["share"] for a in used})
+    # the last document may reach beyond what its source shall give
+    edges = boundaries(weights, {a["source"]: (a["need"] + a["longest"]) // block_tokens + 1 for a in used})
+    # bounded: one row per targeted source
+    aim = spark.createDataFrame([(a["source"], a["need"], a["tokens"], max(1, a["docs"] // BUCKET_DOCS)) for a in used], "source string, need bigint, have bigint, buckets bigint")
     # Running totals over a fixed random order: within buckets of bounded size, then over buckets.
     placed = counted.join(F.broadcast(aim), "source").withColumn("h", F.xxhash64(F.lit(seed), "doc_id"))
     placed = placed.withColumn("bucket", F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * F.col("buckets")))
@@ -115,10 +153,30 @@ def _mixed(documents: DataFrame, targets: DataFrame, path: str, block_tokens: in
     placed = placed.withColumn("uses", uses.cast("int")).where("uses > 0")
     each = placed.withColumn("use_no", F.explode(F.sequence(F.lit(1), F.col("uses"))))
     each = each.withColumn("start", (F.col("use_no") - 1) * F.col("have") + F.col("at")).withColumn("block_no", F.floor(F.col("start") / block_tokens))
-    each = each.withColumn("block_in_frame", F.col("block_no") % F.col("slots")).join(F.broadcast(frame), ["source", "block_in_frame"])
-    slot = F.floor(F.col("block_no") / F.col("slots")) * FRAME + F.col("slot_in_frame")
     place = (F.col("start") % block_tokens).cast("int")
-    return each.select(slot.alias("slot"), "source", "block_no", place.alias("place"), "doc_id", "use_no", "n_tokens"), aims
+    each = each.select("source", "block_no", place.alias("place"), "doc_id", "use_no", "n_tokens")
+    sent = spark.sparkContext.broadcast((weights, {s: np.array(e) for s, e in edges.items()}))
+
+    def slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        weights, edges = sent.value
+
+        @lru_cache(32)
+        def frame(f: int) -> dict[str, np.ndarray]:
+            return {s: np.array(x) for s, x in frame_schedule(weights, *({s: int(e[f + k]) for s, e in edges.items()} for k in (0, 1)), f * FRAME).items()}
+
+        for b in batches:
+            slot = np.zeros(len(b), dtype=np.int64)
+            block, source = b["block_no"].to_numpy(), b["source"].to_numpy()
+            for s in set(source):
+                own = np.nonzero(source == s)[0]
+                frames = np.searchsorted(edges[s], block[own], side="right") - 1
+                for f in np.unique(frames):
+                    at = own[frames == f]
+                    slot[at] = frame(int(f))[s][block[at] - edges[s][f]]
+            b.insert(0, "slot", slot)
+            yield b
+
+    return each.mapInPandas(slots, "slot bigint, source string, block_no bigint, place int, doc_id bigint, use_no int, n_tokens bigint"), aims
 
 
 def mix_report(documents: DataFrame, targets: DataFrame, path: str = VOCABULARY, block_tokens: int = BLOCK_TOKENS, seed: int = 7) -> DataFrame:

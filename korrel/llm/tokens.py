@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 
 import pandas as pd
 import tiktoken
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The vocabulary file: a byte-level BPE for many languages, 50,256 ids.
+#: The vocabulary file, a parameter of every caller: the public byte-level BPE ``byte_bpe_multi_50k`` for
+#: many languages, 50,256 ids. Executors read it at this path, or as shipped by ``SparkContext.addFile``.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: How the tokenizer cuts a text before merging. Fixed value of that public vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -21,7 +24,8 @@ _loaded: dict[str, tiktoken.Encoding] = {}
 def encoding(path: str = VOCABULARY) -> tiktoken.Encoding:
     """The tokenizer of a vocabulary file, loaded once for each Python worker."""
     if path not in _loaded:
-        with open(path, "rb") as f:
+        there = path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
+        with open(there, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         _loaded[path] = tiktoken.Encoding("korrel", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return _loaded[path]
@@ -40,7 +44,15 @@ def with_token_counts(documents: DataFrame, text: str = "text", path: str = VOCA
     @F.pandas_udf("long")
     def counts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         enc = encoding(path)
+        encode = enc._core_bpe.encode_ordinary  # without the wrapper, a third of the time
+
+        def n_tokens(t: str | None) -> int:
+            try:
+                return len(encode(t)) if t else 0
+            except UnicodeEncodeError:  # lone surrogates
+                return len(enc.encode_ordinary(t))
+
         for b in batches:
-            yield pd.Series([len(x) for x in enc.encode_ordinary_batch([t or "" for t in b], num_threads=1)], dtype="int64")
+            yield pd.Series([n_tokens(t) for t in b], dtype="int64")
 
     return documents.withColumn(into, counts(F.col(text)))
