@@ -9,6 +9,11 @@ at most one place. So substrings at shifted places are looked up in an inverted
 parts, length, segment number, segment), and what is found is verified by banded edit distance.
 The equal parts keep the buckets small even where one surname or trade is very common.
 
+Where one letter more often tells two people apart than a slip of the keys does, in parts of fewer than
+``LEAST_PART`` letters and in spellings of one word, and where two parts hold an error each, keys are
+linked only if one is ``SLIP`` times as frequent as the other: then the rare one is the error. Such
+errors are looked up in the index of frequent keys alone, for two errors by a segment of either part.
+
 Names in another script are compared by their consonants. Linked keys form an entity (minimum label
 spreading). A spelling with initials belongs to the entity of that surname and initial; among
 several, to the one with the same middle initial, then the most frequent.
@@ -31,8 +36,11 @@ from pyspark.sql import functions as F
 from korrel.operators.packed import packed_items
 from korrel.session import cut
 
-#: Letters of a part below which no typing error is looked for.
-LEAST_PART = 4
+#: Letters of a part from which one typing error is believed whatever the frequencies; letters of each
+#: of two parts with an error.
+LEAST_PART, LEAST_TWO = 4, 5
+#: How many times as frequent the right spelling must be where an error is less sure.
+SLIP = 20
 
 # Titles, legal forms, words around a firm's name, trades and nicknames.
 TITLES = set("mr mrs ms miss dr prof rev shri shree smt sri sir mme mlle m herr frau hr fr sr sra srta dra don doña श्री श्रीमती सौ डॉ कुमारी".split())
@@ -169,31 +177,56 @@ def _read_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["name", "n", "kind", "key", "parts", "initial", "surname", "middle", "latin", "heard"])
 
 
+def _segment(part: str, length: str, i: int, of: int, shift: int = 0) -> str:
+    """SQL of segment ``i`` of ``of`` of a word of ``length`` letters, read from ``part`` at a shifted place."""
+    start, end = f"cast(floor({length} * {i} / {of}) as int)", f"cast(floor({length} * {i + 1} / {of}) as int)"
+    return f"substring({part}, {start} + 1 + {shift}, {end} - {start})"
+
+
 def _near_keys(keys: DataFrame) -> DataFrame:
-    """(a, b), a < b: keys of one kind whose parts are one typing error apart."""
+    """(a, b), a < b: keys of (key, kind, parts, n) of one kind whose parts are one typing error apart, or
+    two where the frequencies say so."""
     # one row per part that may be wrong: the others must be equal
-    open_part = keys.where("kind <> 'word'").select("key", "kind", "parts", F.posexplode("parts").alias("at", "part"))
-    open_part = open_part.where((F.length("part") >= LEAST_PART) & ((F.col("kind") != "firm") | (F.col("at") == 0)))
+    open_part = keys.select("key", "kind", "parts", "n", F.posexplode("parts").alias("at", "part")).where((F.length("part") >= 2) & ((F.col("kind") != "firm") | (F.col("at") == 0)))
     rest = F.array_join(F.filter("parts", lambda x, i: i != F.col("at")), "|")
-    held = open_part.select("key", "part", F.concat_ws(":", "kind", F.size("parts"), rest).alias("rest"), F.length("part").alias("len"))
-
-    def start(i: F.Column | int, length: F.Column) -> F.Column:
-        return F.floor(length * i / 3).cast("int")
-
-    index = held.select("key", "part", "rest", "len", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.expr(f"substring(part, cast(floor(len * {i} / 3) as int) + 1, cast(floor(len * {i + 1} / 3) - floor(len * {i} / 3) as int))").alias("seg")) for i in range(3)])).alias("s"))
-    index = index.select("key", "part", "rest", "len", "s.i", "s.seg")
+    unsure = (F.length("part") < LEAST_PART) | (F.col("kind") == "word")
+    held = open_part.select("key", "part", "n", unsure.alias("unsure"), F.concat_ws(":", "kind", F.size("parts"), rest).alias("rest"), F.length("part").alias("len"))
+    index = held.where(~F.col("unsure") | (F.col("n") >= SLIP)).select("key", "part", "n", "rest", "len", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.expr(_segment("part", "len", i, 3)).alias("seg")) for i in range(3)])).alias("s"))
+    index = index.select("key", "part", "n", "rest", "len", "s.i", "s.seg")
+    # a pair is found from its longer word; of unsure words, which are not all in the index, from either
     looks = [
-        F.struct((F.col("len") - d).alias("len"), F.lit(i).alias("i"), F.expr(f"substring(part, cast(floor((len - {d}) * {i} / 3) as int) + 1 + {shift}, cast(floor((len - {d}) * {i + 1} / 3) - floor((len - {d}) * {i} / 3) as int))").alias("seg"))
-        for d, shifts in ((0, (0,)), (1, (0, 1)))
+        (F.struct((F.col("len") - d).alias("len"), F.lit(i).alias("i"), F.expr(_segment("part", f"(len - {d})", i, 3, shift)).alias("seg")), d)
+        for d, shifts in ((0, (0,)), (1, (0, 1)), (-1, (0, -1)))
         for i in range(3)
         for shift in shifts
     ]
-    probe = held.select(F.col("key").alias("other"), F.col("part").alias("other_part"), "rest", F.explode(F.array(*looks)).alias("s")).select("other", "other_part", "rest", "s.len", "s.i", "s.seg")
+    sought = F.array(*[look for look, d in looks if d >= 0])
+    probe = held.select(F.col("key").alias("other"), F.col("part").alias("other_part"), F.col("n").alias("other_n"), "unsure", "rest", F.explode(F.when(F.col("unsure"), F.array(*[look for look, _ in looks])).otherwise(sought)).alias("s")).select("other", "other_part", "other_n", "unsure", "rest", "s.len", "s.i", "s.seg")
     found = probe.join(index, ["rest", "len", "i", "seg"]).where("key <> other")
+    found = found.where(~F.col("unsure") & (F.length("part") >= LEAST_PART) | (F.greatest("n", "other_n") >= SLIP * F.least("n", "other_n")))
     found = found.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b"), "part", "other_part").distinct()
     edits = F.levenshtein("part", "other_part", 2)
     swapped = (edits == 2) & (F.length("part") == F.length("other_part")) & (F.array_sort(F.split("part", "")) == F.array_sort(F.split("other_part", "")))
-    return found.where((edits == 1) | swapped).select("a", "b").distinct()
+    return found.where((edits == 1) | swapped).select("a", "b").unionByName(_two_errors(keys)).distinct()
+
+
+def _two_errors(keys: DataFrame) -> DataFrame:
+    """(a, b), a < b: keys of two parts with one edit in each, one key far more frequent than the other."""
+    two = keys.where((F.size("parts") == 2) & (F.col("kind") == "person") & (F.length(F.get("parts", 0)) >= LEAST_TWO) & (F.length(F.get("parts", 1)) >= LEAST_TWO))
+    two = two.select("key", "n", F.get("parts", 0).alias("p"), F.get("parts", 1).alias("q")).withColumns({"lp": F.length("p"), "lq": F.length("q")})
+
+    def cells(part: str, length: str, looked_up: bool) -> F.Column:
+        ways = [(d, i, shift) for d in ((-1, 0, 1) if looked_up else (0,)) for i in (0, 1) for shift in ((0, d) if d and looked_up else (0,))]
+        return F.array(*[F.struct((F.col(length) - d).alias("l"), F.lit(i).alias("i"), F.expr(_segment(part, f"({length} - {d})", i, 2, shift)).alias("seg")) for d, i, shift in ways])
+
+    def spread(rows: DataFrame, looked_up: bool) -> DataFrame:
+        left = rows.withColumn("x", F.explode(cells("p", "lp", looked_up)))
+        return left.withColumn("y", F.explode(cells("q", "lq", looked_up))).select("key", "n", "p", "q", "x", "y")
+
+    index = spread(two.where(F.col("n") >= SLIP), False)
+    probe = spread(two, True).select(F.col("key").alias("other"), F.col("n").alias("other_n"), F.col("p").alias("other_p"), F.col("q").alias("other_q"), "x", "y")
+    found = probe.join(index, ["x", "y"]).where((F.col("n") >= SLIP * F.col("other_n")) & (F.levenshtein("p", "other_p", 1) == 1) & (F.levenshtein("q", "other_q", 1) == 1))
+    return found.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b"))
 
 
 def _entities(keys: DataFrame, links: DataFrame) -> DataFrame:
@@ -204,9 +237,11 @@ def _entities(keys: DataFrame, links: DataFrame) -> DataFrame:
         near = both.join(labels, both["b"] == labels["key"]).groupBy("a").agg(F.min("entity").alias("near"))
         stepped = labels.join(near.withColumnRenamed("a", "key"), "key", "left").select("key", F.least("entity", "near").alias("entity"), (F.col("near") < F.col("entity")).alias("moved"))
         stepped = cut(stepped)
-        labels = stepped.select("key", "entity")
         if stepped.where("moved").isEmpty():
-            return labels
+            return stepped.select("key", "entity")
+        # on to the entity of the entity, so that long chains take few rounds
+        further = stepped.select(F.col("key").alias("entity"), F.col("entity").alias("further"))
+        labels = cut(stepped.select("key", "entity").join(further, "entity").select("key", F.least("entity", "further").alias("entity")))
 
 
 def linked_spellings(files: DataFrame, field: str = "owner_names") -> DataFrame:

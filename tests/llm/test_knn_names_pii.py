@@ -108,6 +108,21 @@ def test_linked_names(spark):
     assert N.variant_pairs(files.where("false")).count() == 0
 
 
+def test_less_sure_errors_need_frequencies(spark):
+    owners = ["Ravi Rao"] * 40 + ["Ravi Roa", "Ravi Ro"] + ["Mudith"] * 40 + ["Mudiht", "Mudit"] + ["Bhaskar Shetty"] * 40 + ["Bhaskr Shety"] + ["Ines Lee", "Ines Leo", "Otto", "Ottto", "Marlen Lindqvist", "Marlan Lindkvist"]
+    files = spark.createDataFrame([(i, o, "z") for i, o in enumerate(owners)], "id long, owner_names string, name string")
+    of = {r.name: r.entity for r in N.linked_spellings(files).collect()}
+    assert of["ravi rao"] == of["ravi roa"] == of["ravi ro"] and of["mudith"] == of["mudiht"] == of["mudit"] and of["bhaskar shetty"] == of["bhaskr shety"]
+    assert of["ines lee"] != of["ines leo"] and of["otto"] != of["ottto"] and of["marlen lindqvist"] != of["marlan lindkvist"]
+
+
+def test_long_chains_are_one_entity(spark):
+    keys = spark.createDataFrame([(f"k{i:03d}",) for i in range(40)], "key string")
+    links = spark.createDataFrame([(f"k{i:03d}", f"k{i + 1:03d}") for i in range(38)], "a string, b string")
+    got = {r.key: r.entity for r in N._entities(keys, links).collect()}
+    assert {got[f"k{i:03d}"] for i in range(39)} == {"k000"} and got["k039"] == "k039"
+
+
 def sample(spark):
     people = ["Anna Bergstrom", "Otto Lindqvist", "Mira Solberg", "Kai Nyholm"]
     rows = []
