@@ -2,12 +2,14 @@
 
 The texts of a file (snippet, owners, entities) are one document. Tokens are mail addresses, runs of
 numbers, words and marks; each gets one of the labels below. Potentials come from features of a token
-and its neighbours, from pairs of neighbouring labels, and from *skip* pairs: equal name-like or
-number-like tokens anywhere in the document share a potential that rewards equal entity types.
+and its neighbours, from pairs of neighbouring labels, and from *skip* pairs: repeated or similar
+name-like or number-like tokens anywhere in the document share a potential that rewards equal entity
+types. Similar are numbers of equal digits, names and their nicknames, and words one typing error apart.
 Inference is loopy: exact message passing along every chain, then messages over the skip pairs, and
 again, ``ROUNDS`` times.
 
-The weights are trained here, by gradient steps on the likelihood, on the ``TRAIN_FILES`` files of the
+The weights are trained here, by gradient steps on the likelihood of the chains and then of the skip
+pairs under the beliefs of the chains, on the ``TRAIN_FILES`` files of the
 smallest hashes. Their labels come from rules that are sure rather than complete: words that announce
 numbers, the layout of addresses, and the first and last names that owners bear in all files.
 
@@ -19,6 +21,7 @@ field; the same item at two places of one text is one row; texts of any length a
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -29,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from korrel.llm.names import AROUND, FULL_NAME, LEGAL, TITLES, read, trade_of
+from korrel.llm.names import AROUND, FULL_NAME, LEGAL, TITLES, one_error, read, trade_of
 from korrel.operators.packed import packed_items, places
 from korrel.session import cut, lookup
 
@@ -47,8 +50,8 @@ NAME_SHARE = 50_000
 FILTER_BITS = 1 << 23
 #: Documents inferred at once.
 BATCH = 512
-#: Reward, in log units, of equal entity types at the two ends of a skip pair.
-SKIP = 0.7
+#: Width of the prior of the skip weight, the reward, in log units, of equal types at the ends of a skip pair.
+SKIP_PRIOR = 0.1
 
 # Words that announce a phone number or a number of a person, and parts of addresses.
 PHONE_WORDS = set(
@@ -234,7 +237,6 @@ def address_end(tokens: list[Token], flags: list[str], i: int, free: bool) -> in
         return 0
     if t.kind == "number" and sum(c.isdigit() for c in t.text) > 4:
         return 0
-    last = 0
     while j < len(tokens) and j - i < 22:
         u = tokens[j]
         digits = sum(c.isdigit() for c in u.text) if u.kind == "number" else 0
@@ -265,8 +267,7 @@ def address_end(tokens: list[Token], flags: list[str], i: int, free: bool) -> in
         if j > i and u.text == "." and j + 1 < len(tokens) and tokens[j + 1].kind == "word" and flags[j - 1] not in ("street", "house") and tokens[j - 1].low not in ("no", "h", "avda", "ave", "rd") and tokens[j + 1].low not in ("º", "ª"):
             break
         j += 1
-        last = j
-    return 0 if last else 0
+    return 0
 
 
 def feature_rows(tokens: list[Token], flags: list[str], where: str) -> list[list[str]]:
@@ -314,6 +315,13 @@ class Model:
     steps: np.ndarray
     first: np.ndarray
     names: Names
+    skip: float = 0.0
+
+
+def spellings_near(word: str) -> set[str]:
+    """Marks of a word that it shares with all words one typing error apart: the word itself, and
+    without any one letter."""
+    return {word} | {word[:i] + word[i + 1 :] for i in range(len(word))}
 
 
 class Document:
@@ -345,14 +353,28 @@ class Document:
         return out
 
     def skips(self) -> list[tuple[int, int]]:
-        """Pairs of places with equal tokens that may be entities: each with the next such."""
+        """Pairs of places with repeated or similar tokens that may be entities: each with the last
+        such before it."""
         last: dict[str, int] = {}
+        near: dict[str, int] = {}
         out = []
         for i, t in enumerate(self.tokens):
-            if t.kind == "number" and len(t.text) >= 5 or t.kind == "word" and len(t.low) >= 3 and (t.text[0].isupper() or self.flags[i] in ("first", "last")):
-                if t.low in last:
-                    out.append((last[t.low], i))
-                last[t.low] = i
+            if t.kind == "number" and len(t.text) >= 5:
+                same = "".join(c for c in t.text if c.isalnum()).lstrip("0").lower()
+            elif t.kind == "word" and len(t.low) >= 3 and (t.text[0].isupper() or self.flags[i] in ("first", "last")):
+                same = FULL_NAME.get(t.low, t.low)
+            else:
+                continue
+            if same in last:
+                out.append((last[same], i))
+            elif t.kind == "word" and len(same) >= 5:
+                marks = spellings_near(same)
+                alike = [near[m] for m in marks if m in near]
+                alike = [k for k in alike if one_error(same, FULL_NAME.get(self.tokens[k].low, self.tokens[k].low))]
+                if alike:
+                    out.append((max(alike), i))
+                near.update(dict.fromkeys(marks, i))
+            last[same] = i
         return out
 
 
@@ -430,7 +452,37 @@ def train(docs: list[Document], labels: list[list[int]], names: Names, steps: in
                 g[0] = g[0] if a is not w else 0
                 s += g * g
                 a -= 0.3 * g / np.sqrt(s)
-    return Model(index, w.astype(np.float32), trans, first, names)
+    model = Model(index, w.astype(np.float32), trans, first, names)
+    model.skip = _skip_weight(docs, labels, model)
+    return model
+
+
+def _skip_weight(docs: list[Document], labels: list[list[int]], model: Model) -> float:
+    """The reward of equal types at which the skip pairs' labels are the likeliest, with what the chains
+    believe of both ends, under a prior that keeps it small."""
+    equal, believed = [], []
+    order = sorted(range(len(docs)), key=lambda i: len(docs[i].tokens))
+    for a in range(0, len(order), 128):
+        rows = order[a : a + 128]
+        pairs = [(r, i, j) for r, k in enumerate(rows) for i, j in docs[k].skips()]
+        if not pairs:
+            continue
+        x, there, begins = _padded([docs[k] for k in rows], model.index)
+        marginal = beliefs(model.weights[x].sum(axis=2).astype(np.float64), there, begins, model.steps, model.first)[0]
+        r, i, j = np.array(pairs).T
+        same = (TYPE_OF[:, None] == TYPE_OF[None, :]).astype(float)
+        believed.append(((marginal[r, i] @ same) * marginal[r, j]).sum(axis=1))
+        equal.append([TYPE_OF[labels[rows[q]][b]] == TYPE_OF[labels[rows[q]][c]] for q, b, c in pairs])
+    if not equal:
+        return 0.0
+    p, y = np.clip(np.concatenate(believed), 1e-6, 1 - 1e-6), np.concatenate(equal)
+    low, high = 0.0, 4.0
+    for _ in range(40):  # the slope of the likelihood falls with the weight
+        at = (low + high) / 2
+        odds = p * np.exp(at) / (1 - p)
+        slope = (y - odds / (1 + odds)).sum() - at / SKIP_PRIOR**2
+        low, high = (at, high) if slope > 0 else (low, at)
+    return low
 
 
 def infer(docs: list[Document], model: Model) -> list[np.ndarray]:
@@ -448,7 +500,7 @@ def infer(docs: list[Document], model: Model) -> list[np.ndarray]:
             pairs = np.array([(r, i, j) for r, d in enumerate(own) for i, j in d.skips()], dtype=np.int64).reshape(-1, 3)
             marginal = beliefs(unary, there, begins, model.steps, model.first)[0]
             if len(pairs):
-                same = np.exp(SKIP * (TYPE_OF[:, None] == TYPE_OF[None, :]))
+                same = np.exp(model.skip * (TYPE_OF[:, None] == TYPE_OF[None, :]))
                 to_j = to_i = np.ones((len(pairs), len(LABELS)))
                 r, i, j = pairs.T
                 for _ in range(ROUNDS):
@@ -645,12 +697,42 @@ def personal_items(files: DataFrame) -> DataFrame:
 
 def redacted(text: str | None, found: list[tuple[str, str]]) -> str | None:
     """``text`` with each (type, value) replaced by its typed placeholder, the longest first. Any blanks
-    may stand for those of a value."""
+    may stand for those of a value, and letters of either case."""
     if text is None or not found:
         return text
-    kinds = {" ".join(v.lower().split()): k for k, v in sorted(found, key=lambda x: x[0])}
+    kinds = {" ".join(v.casefold().split()): k for k, v in sorted(found, key=lambda x: x[0])}
     either = "|".join(r"\s+".join(regex.escape(w) for w in v.split()) for v in sorted({v for _, v in found}, key=lambda v: (-len(v), v)))
-    return regex.sub(rf"(?<![\p{{L}}\p{{Nd}}])(?:{either})(?![\p{{L}}\p{{Nd}}])", lambda m: f"[{kinds[' '.join(m.group().lower().split())]}]", text, flags=regex.IGNORECASE)
+
+    def placeholder(m: regex.Match) -> str:
+        kind = kinds.get(" ".join(m.group().casefold().split()))
+        return f"[{kind}]" if kind else m.group()
+
+    return regex.sub(rf"(?<![\p{{L}}\p{{Nd}}])(?:{either})(?![\p{{L}}\p{{Nd}}])", placeholder, text, flags=regex.IGNORECASE)
+
+
+def redacted_places(text: str | None, found: list[tuple[int, int, str]]) -> str | None:
+    """``text`` with each (start, end, type) replaced by its typed placeholder; they don't overlap."""
+    if text is None:
+        return None
+    out, last = [], 0
+    for start, end, kind in sorted(found):
+        out += [text[last:start], f"[{kind}]"]
+        last = end
+    return "".join(out) + text[last:]
+
+
+def in_blank_list(text: str, values: list[str], found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Places in a blank-separated ``text`` for those in its ``values`` joined by single blanks."""
+    there = [(m.start(), m.end()) for m in regex.finditer(r"\S+", text)]
+    at, starts = 0, []
+    for v in values:
+        starts.append(at)
+        at += len(v) + 1
+    out = []
+    for start, end, kind in found:
+        a, b = bisect_right(starts, start) - 1, bisect_right(starts, end - 1) - 1
+        out.append((there[a][0] + start - starts[a], there[b][0] + end - starts[b], kind))
+    return out
 
 
 def redacted_values(name: str, text: str | None, values: list[str] | None, found: list[tuple[str, str]]) -> str | None:
@@ -682,7 +764,15 @@ def redacted_files(files: DataFrame) -> DataFrame:
         own: dict[str, list[tuple[str, str]]] = {"content_snip": [], "owner_names": [], "entities": []}
         for name, kind, value in _found(doc, labels, row.blank):
             own[name].append((kind, value))
-        entities = redacted(row.entities, own["entities"]) if row.blank else redacted_values("entities", row.entities, row.values, own["entities"])
-        return [(row.id, redacted(row.content_snip, own["content_snip"]), redacted_values("owner_names", row.owner_names, row.owners, own["owner_names"]), entities)]
+        at = [(name, start, end, kind) for name, kind, start, end, _ in items_of(doc, labels)]
+        snippet = redacted_places(row.content_snip, [x[1:] for x in at if x[0] == "content_snip"])
+        values = list(row.values) if row.values is not None else []
+        if not row.blank:
+            entities = redacted_values("entities", row.entities, row.values, own["entities"])
+        elif values == (row.entities or "").split():
+            entities = redacted_places(row.entities, in_blank_list(row.entities, values, [x[1:] for x in at if x[0] == "entities"]))
+        else:  # the values of another row of this id
+            entities = redacted(row.entities, own["entities"])
+        return [(row.id, snippet, redacted_values("owner_names", row.owner_names, row.owners, own["owner_names"]), entities)]
 
     return _batches(whole, model, "id bigint, content_snip string, owner_names string, entities string", make)

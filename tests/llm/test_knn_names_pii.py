@@ -194,3 +194,19 @@ def test_rare_names_are_known_at_any_size(spark, monkeypatch):
         flags.append([d.flags for d in docs])
         assert ("quastenbrink-ott" in model.names.last) == (share == 50_000)
     assert flags[0] == flags[1] and flags[1][-1][:2] == ["first", "last"]
+
+
+def test_skip_pairs_link_repeated_and_similar_tokens():
+    doc = P.document_of("Margaret called +49 30 23125-100. Margsret, then Maggie, and 493023125100 again.", None, None, False, None, P.Names(), {})
+    pairs = [(doc.tokens[i].text, doc.tokens[j].text) for i, j in doc.skips()]
+    assert ("Margaret", "Margsret") in pairs and ("Margaret", "Maggie") in pairs and any("23125-100" in a and b == "493023125100" for a, b in pairs)
+
+
+def test_redaction_folds_letters():
+    assert P.redacted("Here is ſam Berg.", [("NAME", "Sam Berg")]) == "Here is [NAME]."
+
+
+def test_only_the_found_places_change():
+    assert P.redacted_places("May wrote in may.", [(0, 3, "NAME")]) == "[NAME] wrote in may." and P.redacted_places(None, []) is None
+    text, values = " kyc  mira   solberg x", ["kyc", "mira", "solberg", "x"]
+    assert P.redacted_places(text, P.in_blank_list(text, values, [(4, 16, "NAME")])) == " kyc  [NAME] x"
