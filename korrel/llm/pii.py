@@ -207,20 +207,31 @@ def weak_labels(tokens: list[Token], flags: list[str], free: bool) -> list[int]:
         if end:
             out[i] = INDEX["ADDRESS_B"]
             out[i + 1 : end] = [INDEX["ADDRESS_I"]] * (end - i - 1)
+    named = ("first", "last", "initial") if free else ("first", "last", "initial", "letter")
+    # a value of nothing but names is one, even where a rare surname was only seen before a first name
+    whole = not free and all(f in named or f in ("title", "mark") for f in flags)
+
+    def goes_on(j: int) -> bool:
+        """Whether token ``j`` belongs to the name before it: a name, the dot of a shortened one, or in a
+        value the comma after a surname."""
+        if flags[j] in named:
+            return True
+        after = j + 1 < n and flags[j + 1] in named
+        return after and (low[j] == "." and flags[j - 1] == "first" and len(low[j - 1]) <= 5 or whole and low[j] == "," and flags[j - 1] in ("first", "last"))
+
     i = 0
     while i < n:
-        named = ("first", "last", "initial") if free else ("first", "last", "initial", "letter")
         if out[i] or flags[i] not in named:
             i += 1
             continue
         j = i
-        while j < n and not out[j] and flags[j] in named and (j == i or low[j - 1] not in ",;"):
+        while j < n and not out[j] and goes_on(j):
             j += 1
             if not free and flags[j - 1] == "last" and j - i >= 2 and flags[i] == "first":
                 break  # names follow each other
-        run = flags[i:j]
-        unsure = "last" in run and j - i >= 2
-        if unsure and not (j < n and flags[j] == "firm" and not (free and low[j] in AROUND)):
+        run = [f for f in flags[i:j] if f != "mark"]
+        sure = len(run) >= 2 and ("last" in run or whole and "first" in run)
+        if sure and not (j < n and flags[j] == "firm" and not (free and low[j] in AROUND)):
             out[i] = INDEX["NAME_B"]
             out[i + 1 : j] = [INDEX["NAME_I"]] * (j - i - 1)
         i = max(j, i + 1)
