@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from korrel.functions import files as X
+from korrel.functions import forms as Q
+from korrel.functions import owners as O
 from korrel.functions import values as V
 
 KEY = ["device_id", "path"]
@@ -75,11 +77,40 @@ def with_read_text(files: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def described(files: DataFrame, as_of_ms: int) -> DataFrame:
-    """The description of every file, made anew from its path, size, time and text."""
-    folder = X.parent_folder(F.col("path"))
-    stem = F.regexp_replace("name", r"\.[^.]*$", "")
-    age = X.age_bucket(F.col("last_modified"), as_of_ms)
-    return files.select(
-        "id", age.alias("age_bucket"), X.size_bucket(F.col("size_bytes")).alias("size_bucket"), X.type_label(F.col("extension")).alias("type_label"),
-        X.document_sentence(stem, F.col("content_snip"), F.lit("general"), F.col("extension"), age, folder).alias("sentence"),
+    """The description of every file, made anew from its path, size, time and text: its buckets, kind,
+    categories, owners, parties, and the sentence for embedding, in which names of parties are left
+    out of the text."""
+    folder, stem, ext = X.parent_folder(F.col("path")), F.regexp_replace("name", r"\.[^.]*$", ""), F.lower("extension")
+    made = files.select(
+        "id", *KEY, "name", "extension", "content_snip", X.age_bucket(F.col("last_modified"), as_of_ms).alias("age_bucket"), X.size_bucket(F.col("size_bytes")).alias("size_bucket"),
+        X.type_label(F.col("extension")).alias("type_label"), X.categories_of(F.col("path"), F.col("name"), F.col("extension"), F.col("content_snip")).alias("categories"),
+        O.owners_of(stem, F.col("content_snip")).alias("owners"), folder.alias("folder"), stem.alias("stem"),
     )
+    made = made.withColumn("entities", O.entities_of(F.col("content_snip"), F.col("owners"))).withColumn("owner_confidence", O.surest(F.col("owners")))
+    parts = (F.col("stem"), O.without_entities(F.col("content_snip"), F.col("entities")), F.get("categories", 0), F.col("extension"), F.col("age_bucket"), F.col("folder"))
+    return made.withColumn("sentence", F.when(ext.isin(V.MEDIA_EXTENSIONS), X.media_sentence(*parts)).otherwise(X.document_sentence(*parts)))
+
+
+def keyword_texts(made: DataFrame) -> DataFrame:
+    """(device_id, path, keywords) of described files: what a search by keywords reads. ``author`` and
+    other values of a document's own properties come in as ``properties`` if there is such a column."""
+    signals = X.name_signals(F.col("stem"))
+    own = [F.array_join("properties", " ")] if "properties" in made.columns else []
+    entities = F.array_join(F.flatten(F.transform("entities", lambda e: F.array(F.concat(F.lit("entity:"), e), e))), " ")
+    parts = [
+        F.regexp_replace("stem", r"[_\-.]", " "), F.lower("extension"), F.col("folder"), F.lower(F.array_join("categories", " ")), F.col("content_snip"), F.col("type_label"),
+        signals["person"], F.array_join(O.owner_tokens(F.col("owners")), " "), F.array_join(O.owner_tokens(F.col("owners"), False), " "), entities,
+        signals["month"], signals["year"], signals["quarter"], signals["number"], signals["version"], *own, Q.index_extras(F.col("stem"), F.col("content_snip")),
+    ]
+    return made.select(*KEY, F.concat_ws(" ", *[F.when(F.trim(p) != "", p) for p in parts]).alias("keywords"))
+
+
+def in_categories(files: DataFrame, wanted: list[str], most: int | None = None) -> DataFrame:
+    """Files (with an array ``categories``) of any of the wanted categories, the newest first."""
+    found = files.where(F.arrays_overlap("categories", F.array(*[F.lit(c) for c in wanted]))).orderBy(F.desc("last_modified"), "path", "id")
+    return found.limit(most) if most is not None else found
+
+
+def without_blank(made: DataFrame) -> DataFrame:
+    """Described files that have a sentence to embed."""
+    return made.where(F.trim("sentence") != "")

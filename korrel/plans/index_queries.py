@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from korrel.functions import files as X
+from korrel.functions import owners as O
 from korrel.functions import text as T
 from korrel.functions import values as V
 from korrel.functions import vectors as VX
@@ -170,9 +171,7 @@ def file_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH p AS (SELECT id, path, lower(path) AS low, coalesce({FOLDER}, '') AS folder FROM indexed_files)
-SELECT id, CASE WHEN contains(low, '/whatsapp/') THEN 'WhatsApp' WHEN contains(low, '/telegram/') THEN 'Telegram' WHEN contains(low, '/download') THEN 'Downloads' WHEN contains(low, '/gmail') THEN 'Gmail'
-  WHEN contains(low, '/dcim/') OR contains(low, '/camera/') THEN 'Camera' WHEN contains(low, '/documents/') THEN 'Documents' WHEN contains(low, '/pictures/') THEN 'Pictures' WHEN contains(low, '/drive') THEN 'Drive'
-  WHEN trim(folder) = '' THEN 'Files' ELSE concat(upper(folder[1:1]), folder[2:]) END AS source FROM p"""
+SELECT id, CASE {" ".join(f"WHEN contains(low, '{part}') THEN '{source}'" for part, source in V.SOURCES)} WHEN trim(folder) = '' THEN '{V.NO_SOURCE}' ELSE concat(upper(folder[1:1]), folder[2:]) END AS source FROM p"""
 )
 def file_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where every file came from."""
@@ -220,13 +219,101 @@ def weak_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(spark, sf_dir).select("id", X.is_weak_text(F.col("content_snip")).alias("weak"))
 
 
+def _categories() -> str:
+    """The categories of a row of (low_path, ext, folder, tokens), as an array, in SQL."""
+    out, pictures = [], V.CATEGORY_OF_EXTENSION[0][2]
+    folders = [x for _, _, known in V.CATEGORY_OF_FOLDER for x in known]
+    one_of = lambda what, known: f"list_contains({[*known]!r}, {what})"
+    for i, (category, words) in enumerate(V.CATEGORY_WORDS.items()):
+        kind = " + ".join(
+            [f"CASE WHEN {one_of('ext', known)}{'' if k else ' AND NOT ' + one_of('folder', V.PICTURE_FOLDERS)} THEN {w} ELSE 0 END" for k, (of, w, known) in enumerate(V.CATEGORY_OF_EXTENSION) if of == category]
+            + ([f"CASE WHEN {one_of('ext', pictures)} AND {one_of('folder', V.PICTURE_FOLDERS)} THEN {V.PICTURES_ARE_PERSONAL} ELSE 0 END"] if category == "PERSONAL" else ["0"])
+        )
+        place = " + ".join(
+            [f"CASE WHEN {one_of('folder', known)} THEN {w} ELSE 0 END" for of, w, known in V.CATEGORY_OF_FOLDER if of == category]
+            + ([f"CASE WHEN contains(low_path, '{V.MESSENGER_FOLDER}') AND NOT {one_of('folder', folders)} THEN {V.MESSENGER_IS_PERSONAL} ELSE 0 END"] if category == "PERSONAL" else ["0"])
+        )
+        said = f"len(list_intersect({words!r}, tokens))"
+        out.append(f"{{'s': -({said} + {kind} + {place}), 'o': CASE WHEN {said} > 0 THEN {i} WHEN {kind} > 0 THEN {10 + i if category == 'EDUCATION' else 15} ELSE 20 END, 'n': '{category}'}}")
+    best = f"list_transform(list_sort(list_filter([{', '.join(out)}], lambda x: x.s < 0))[1:2], lambda x: x.n)"
+    return f"CASE WHEN len({best}) > 0 THEN {best} ELSE ['GENERAL'] END"
+
+
+KINDS = f"""kinds AS (SELECT *, lower(path) AS low_path, lower(extension) AS ext, lower(coalesce({FOLDER}, '')) AS folder,
+  {TOKENS.format("concat_ws(' ', regexp_replace(name, '" + chr(92) + ".[^.]*$', ''), path, coalesce(content_snip, ''))")} AS tokens FROM indexed_files)"""
+
+
+@query(f"WITH {KINDS} SELECT id, array_to_string({_categories()}, ',') AS categories FROM kinds")
+def file_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The categories that every row's name, path, text, kind and folder speak for."""
+    found = X.categories_of(F.col("path"), F.col("name"), F.col("extension"), F.col("content_snip"))
+    return files(spark, sf_dir).select("id", F.array_join(found, ",").alias("categories"))
+
+
+@query(f"WITH {LATEST}, {KINDS}, c AS (SELECT id, {_categories()} AS categories FROM kinds) SELECT l.id FROM latest l JOIN c USING (id) WHERE list_has_any(c.categories, ['IDENTITY', 'WORK'])")
+def files_of_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of identity or work."""
+    now = I.latest(files(spark, sf_dir))
+    return I.in_categories(now.withColumn("categories", X.categories_of(F.col("path"), F.col("name"), F.col("extension"), F.col("content_snip"))), ["IDENTITY", "WORK"]).select("id")
+
+
+NAMED = r"""nullif(concat_ws(' ', CASE WHEN regexp_matches(low, '^(resume|cv)_') THEN concat(upper(person[1:1]), person[2:]) END, CASE WHEN month IS NOT NULL AND year IS NOT NULL THEN concat_ws(' ', month, year) ELSE coalesce(month, year) END, quarter, 'number ' || number, version || ' version'), '')"""
+SCRIPT_NAME = "CASE " + f"WHEN regexp_matches(clean, '[{V.SCRIPTS['devanagari']}]') AND regexp_matches(clean, '[{V.SCRIPTS['latin']}]') THEN 'mixed' " + " ".join(f"WHEN regexp_matches(clean, '[{V.SCRIPTS[s]}]') THEN '{n}'" for s, n in V.LANGUAGE_OF_SCRIPT) + " END"
+
+
 @query(
-    f"""WITH r AS (SELECT id, {AGE.replace('d <=', DAYS + ' <=')} AS age, {TYPE} AS kind, {FOLDER} AS folder, content_snip, trim(regexp_replace(regexp_replace(name, '\\.[^.]*$', ''), '[_\\-.]', ' ', 'g')) AS clean FROM indexed_files)
-SELECT id, concat_ws(' ', CASE WHEN trim(content_snip) <> '' THEN trim(content_snip) END, concat('A general ', kind, ' named ', clean), concat_ws(' ', 'last modified', replace(age, '-', ' '), 'stored in', folder))[1:400] AS sentence FROM r"""
+    rf"""WITH {KINDS}, c AS (SELECT id, {_categories()} AS categories FROM kinds), r AS (SELECT k.*, lower(c.categories[1]) AS label, {AGE.replace('d <=', DAYS + ' <=')} AS age, {TYPE} AS kind, {FOLDER} AS place, regexp_replace(name, '\.[^.]*$', '') AS stem, lower(regexp_replace(name, '\.[^.]*$', '')) AS low FROM kinds k JOIN c USING (id)),
+s AS (SELECT *, trim(regexp_replace(stem, '[_\-.]', ' ', 'g')) AS clean, nullif(regexp_extract(low, '20(2[0-9])'), '') AS year, nullif(regexp_extract(low, '(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)'), '') AS month, upper(nullif(regexp_extract(low, 'q[1-4]'), '')) AS quarter,
+  nullif(regexp_extract(low, '#?\b(\d{{3,6}})\b', 1), '') AS number, nullif(regexp_extract(low, '\b(v\d+|final|draft|old|backup|copy)\b'), '') AS version, regexp_extract(stem, '^[^_]*_([^_]*)', 1) AS person FROM r)
+SELECT id, CASE WHEN list_contains({V.MEDIA_EXTENSIONS!r}, ext) THEN concat_ws(' ', CASE WHEN trim(content_snip) <> '' THEN trim(content_snip) END, nullif(trim({NAMED}), ''), CASE WHEN regexp_matches(label, '^[aeiou]') THEN 'An' ELSE 'A' END, label, kind, 'file named', clean, 'in', place, 'folder modified', replace(age, '-', ' '))[1:400]
+  ELSE concat_ws(' ', CASE WHEN trim(content_snip) <> '' THEN trim(content_snip) END, nullif(trim({NAMED}), ''), CASE WHEN regexp_matches(label, '^[aeiou]') THEN 'An' ELSE 'A' END, label, kind, 'named', clean, 'in ' || ({SCRIPT_NAME}), 'last modified', replace(age, '-', ' '), 'stored in', place)[1:400] END AS sentence FROM s"""
 )
 def described_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sentence that describes every row."""
-    return I.described(files(spark, sf_dir), AS_OF).select("id", "sentence")
+    """The sentence that describes every row, with its whole text."""
+    stem, folder, age = F.regexp_replace("name", r"\.[^.]*$", ""), X.parent_folder(F.col("path")), X.age_bucket(F.col("last_modified"), AS_OF)
+    category = F.get(X.categories_of(F.col("path"), F.col("name"), F.col("extension"), F.col("content_snip")), 0)
+    parts = (stem, F.col("content_snip"), category, F.col("extension"), age, folder)
+    return files(spark, sf_dir).select("id", F.when(F.lower("extension").isin(V.MEDIA_EXTENSIONS), X.media_sentence(*parts)).otherwise(X.document_sentence(*parts)).alias("sentence"))
+
+
+@query()
+def file_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The owners and parties that every file's name and text tell."""
+    made = I.described(files(spark, sf_dir), AS_OF)
+    return made.select("id", O.owners_to_json(F.col("owners")).alias("owners"), F.array_join("entities", " ").alias("entities"), "owner_confidence", "sentence")
+
+
+@query()
+def keyword_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keyword text of every file, made anew."""
+    return I.keyword_texts(I.described(I.latest(files(spark, sf_dir)), AS_OF))
+
+
+@query(
+    r"""WITH t AS (SELECT *, length(regexp_replace(content_snip, '[^\p{L}\p{Nd}]', '', 'g')) AS solid, len(list_filter(string_split_regex(content_snip, '\s+'), lambda w: length(w) > 2)) AS n_long, lower(path) AS low FROM indexed_files)
+SELECT id, content_snip IS NULL OR trim(content_snip) = '' OR solid < 30 AS weak_reading, NOT (contains(low, '/dcim/') OR contains(low, '/camera/') OR contains(low, '/pictures/')) AS no_photo,
+  size_bytes <= 52428800 AND (content_snip IS NULL OR trim(content_snip) = '' OR solid < 40 OR n_long < 8) AND NOT (contains(low, '/dcim/') OR contains(low, '/camera/') OR contains(low, '/pictures/')) AS to_read FROM t WHERE lower(extension) = 'pdf'"""
+)
+def texts_to_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents' texts are to be read from their images (each taken for one page, not encrypted)."""
+    rows = files(spark, sf_dir).where(F.lower("extension") == "pdf")
+    snippet, path = F.col("content_snip"), F.col("path")
+    return rows.select("id", X.is_weak_reading(snippet).alias("weak_reading"), X.is_no_photo(path).alias("no_photo"), X.needs_reading(snippet, path, F.col("size_bytes"), F.lit(1), F.lit(False)).alias("to_read"))
+
+
+@query(
+    rf"""WITH s AS (SELECT id, size_bytes, lower(regexp_replace(name, '\.[^.]*$', '')) AS low, ({AS_OF} - indexed_at) // 60000 AS m, indexed_at, content_snip FROM indexed_files)
+SELECT id, CASE WHEN size_bytes < 1024 THEN concat(size_bytes, 'B') WHEN size_bytes < 1048576 THEN concat(size_bytes // 1024, 'KB') ELSE printf('%.1fMB', size_bytes / 1048576.0) END AS size,
+  concat_ws(',', CASE WHEN regexp_matches(low, '\d{{4}}') THEN 'dated' END, CASE WHEN regexp_matches(low, 'v\d|final|draft') THEN 'versioned' END, CASE WHEN low = upper(low) AND length(low) > 3 THEN 'important' END, CASE WHEN regexp_matches(low, '(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)') THEN 'monthly' END, CASE WHEN regexp_matches(low, 'q[1-4]|quarter') THEN 'quarterly' END) AS marks,
+  CASE WHEN m < 1 THEN 'just now' WHEN m < 60 THEN concat(m, ' min ago') WHEN m < 1440 THEN concat(m // 60, ' hr ago') WHEN m < 2880 THEN 'yesterday' WHEN m < 10080 THEN concat(m // 1440, ' days ago') WHEN indexed_at <= 0 THEN '' ELSE strftime(make_timestamp(indexed_at * 1000), '%-d %b') END AS age,
+  coalesce(length(array_to_string(list_filter(list_transform(string_split(content_snip, chr(10)), lambda x: trim(x)), lambda x: x <> ''), '')) >= 24 OR len(list_filter(string_split(content_snip, chr(10)), lambda x: trim(x) <> '')) >= 2, FALSE) AS telling FROM s"""
+)
+def file_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How lists of files say size, kind of name and age, and whether there is text to show."""
+    return files(spark, sf_dir).select(
+        "id", X.compact_size(F.col("size_bytes")).alias("size"), F.array_join(X.name_marks(F.regexp_replace("name", r"\.[^.]*$", "")), ",").alias("marks"),
+        X.age_in_words(F.col("indexed_at"), AS_OF).alias("age"), X.is_telling(F.col("content_snip")).alias("telling"),
+    )
 
 
 @query(f"SELECT id, list_sort(list_distinct({TOKENS.format('metadata_str')})) AS tokens FROM indexed_files")

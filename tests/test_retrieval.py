@@ -73,13 +73,3 @@ def test_coverage_pool_and_weak_queries(spark):
     assert [(r.id, r.tier, r.pos) for r in R.pooled([(a, False), (b, True)], 1).orderBy("pos").collect()] == [(5, 0, 1), (6, 0, 2), (7, 1, 3)]
     scored = spark.createDataFrame([("tax return", 1, 9.0)], "qid string, id long, score double")
     assert {(r.qid, r.n) for r in R.weak_queries(q, scored, 5.0).collect()} == {("zzz", 0)}
-
-
-def test_aliases_and_labelled_names(spark):
-    from pyspark.sql import functions as F
-
-    from korrel.functions import text as T
-
-    r = spark.createDataFrame([(["a", "b", "a"], "Name: Anna Berg\nS/O: Otto Berg"), ([], ""), (None, None)], "t array<string>, x string").select(T.expanded(F.col("t"), {"a": ["c", "b"]}).alias("e"), T.labelled_names(F.col("x")).alias("n")).collect()
-    assert r[0].e == ["a", "c", "b"] and [(x.role, x.name) for x in r[0].n] == [("PRIMARY", "Anna Berg"), ("FATHER", "Otto Berg")]
-    assert r[1].e == [] and r[1].n == [] and r[2].e is None
