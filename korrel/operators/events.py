@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from korrel.functions import values as V
+
 
 def once(events: DataFrame) -> DataFrame:
     """Every event once: of repeated deliveries the one received first (null last)."""
@@ -33,17 +35,43 @@ def golden_report(searches: DataFrame, golden: DataFrame) -> DataFrame:
 
 def click_ranks(clicks: DataFrame, searches: DataFrame) -> DataFrame:
     """(event_id, clicked_rank, shown_place): where the last earlier search of the same device for
-    the same query showed what was clicked; null if it didn't. Clicks are joined with their searches
-    by device and query, so a hot query is spread over devices."""
-    asked = searches.select("device_id", F.col("query").alias("q"), F.col("event_ts").alias("asked_at"), F.from_json("results", "array<string>").alias("paths"))
-    joined = clicks.join(asked, (clicks["device_id"] == asked["device_id"]) & (clicks["query"] == asked["q"]) & (asked["asked_at"] <= clicks["event_ts"]), "left")
-    last = joined.groupBy("event_id", "clicked_rank", "clicked_path").agg(F.max_by("paths", F.struct("asked_at", F.to_json("paths"))).alias("paths"))
-    place = F.array_position("paths", F.col("clicked_path"))
+    the same query showed what was clicked; null if it didn't. Both kinds of events run through one
+    window in the order of time, so a click meets the last search only, not all before it."""
+    asked = searches.select("device_id", "query", F.col("event_ts").alias("ts"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias("event_id"), F.lit(None).cast("int").alias("clicked_rank"), F.lit(None).cast("string").alias("clicked_path"), F.coalesce("results", F.lit("[]")).alias("results"))
+    clicked = clicks.select("device_id", "query", F.col("event_ts").alias("ts"), F.lit(1).alias("kind"), "event_id", "clicked_rank", "clicked_path", F.lit(None).cast("string").alias("results"))
+    before = W.partitionBy("device_id", "query").orderBy("ts", "kind", "results", "event_id")
+    last = asked.unionByName(clicked).withColumn("last", F.last("results", ignorenulls=True).over(before)).where("kind = 1")
+    place = F.array_position(F.from_json("last", "array<string>"), F.col("clicked_path"))
     return last.select("event_id", "clicked_rank", F.when(place > 0, place).alias("shown_place"))
 
 
 def settled(searches: DataFrame, pause_ms: int = 800) -> DataFrame:
-    """Searches that no later one of the same device followed within a pause: what was really asked."""
-    following = F.lead("event_ts").over(W.partitionBy("device_id").orderBy("event_ts", "event_id"))
-    gap = (F.unix_micros(following.cast("timestamp")) - F.unix_micros(F.col("event_ts").cast("timestamp"))) / 1000
-    return searches.withColumn("_gap", gap).where(F.col("_gap").isNull() | (F.col("_gap") > pause_ms)).drop("_gap")
+    """Searches that no later one of the same device followed within a pause: what was really asked. Each
+    device is cut into hours; an hour also sees what begins within a pause after it."""
+    micros, hour, pause = F.unix_micros(F.col("event_ts").cast("timestamp")), 3_600_000_000, pause_ms * 1000
+    own = searches.withColumn("_us", micros).withColumn("_hour", F.floor(F.col("_us") / hour)).withColumn("_here", F.lit(True))
+    after = own.where(F.pmod(F.col("_us"), F.lit(hour)) <= pause).select("device_id", "event_id", "_us", (F.col("_hour") - 1).alias("_hour"), F.lit(False).alias("_here"))
+    following = F.lead("_us").over(W.partitionBy("device_id", "_hour").orderBy("_us", "event_id"))
+    seen = own.unionByName(after, allowMissingColumns=True).withColumn("_gap", following - F.col("_us"))
+    return seen.where(F.col("_here") & (F.col("_gap").isNull() | (F.col("_gap") > pause))).drop("_gap", "_here", "_hour", "_us")
+
+
+def verdicts(targets: DataFrame, results: DataFrame, words: DataFrame, dense: DataFrame, pool: DataFrame, fused: DataFrame, files: DataFrame, dense_most: int) -> DataFrame:
+    """(qid, hint, ...): for each wanted (qid, hint) its best places in every stage of a search, whether it
+    was a candidate and in the fused pool, and a verdict: the first of ``V.VERDICTS`` that fits."""
+    found = files.select("id", F.lower("path").alias("low")).join(F.broadcast(targets.select("hint").distinct()), F.expr("contains(low, lower(hint))")).select("hint", "id")
+    wanted = targets.select("qid", "hint").distinct()
+
+    def best(stage: DataFrame, name: str) -> DataFrame:
+        return wanted.join(found, "hint").join(stage.select("qid", "id", "place"), ["qid", "id"]).groupBy("qid", "hint").agg(F.min("place").alias(name))
+
+    out = wanted
+    for stage, name in ((results, "shown_place"), (words, "lexical_place"), (dense, "dense_place"), (pool.withColumn("place", F.lit(1)), "in_pool"), (fused.withColumn("place", F.lit(1)), "in_fused")):
+        out = out.join(best(stage, name), ["qid", "hint"], "left")
+    out = out.withColumns({"in_pool": F.col("in_pool").isNotNull(), "in_fused": F.col("in_fused").isNotNull()})
+    shown, near = F.col("shown_place"), F.col("dense_place")
+    verdict = (
+        F.when(shown == 1, V.VERDICTS[0]).when(shown.between(2, 10), V.VERDICTS[1]).when(near > dense_most, V.VERDICTS[2])
+        .when(~F.col("in_pool") & F.col("lexical_place").isNull(), V.VERDICTS[3]).when(near.isNull(), V.VERDICTS[4]).otherwise(V.VERDICTS[5])
+    )
+    return out.withColumn("verdict", verdict)

@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 
 from korrel.functions import text as T
 from korrel.functions import values as V
-from korrel.functions import vectors as VX
-from korrel.session import cut
 
 
 #: Query vectors that are sent to the executors at once.
@@ -44,8 +42,10 @@ def postings(files: DataFrame) -> DataFrame:
 
 
 def hits(queries: DataFrame, files: DataFrame) -> DataFrame:
-    """(qid, n_tokens, id, field, token): the query tokens that files hold."""
-    return postings(files).join(query_tokens(queries), "token")
+    """(qid, n_tokens, id, field, token): the query tokens that files hold. Files are cut down to the
+    asked tokens where they are read, so that only what is found is shuffled."""
+    asked = query_tokens(queries)
+    return postings(files).join(asked.select("token").distinct(), "token", "left_semi").join(asked, "token")
 
 
 def full_matches(queries: DataFrame, files: DataFrame, fields: list[str]) -> DataFrame:
@@ -69,19 +69,43 @@ def best(scored: DataFrame, most: int, by: str = "qid") -> DataFrame:
     return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
 
 
-def bm25(queries: DataFrame, docs: DataFrame, id: str, text: str) -> DataFrame:
-    """(qid, id, score) of the documents that hold any token of a query."""
+def bm25_terms(tokens: DataFrame, docs: DataFrame, id: str, text: str) -> DataFrame:
+    """(id, token, weight): what each of (token) weighs in the documents that hold it."""
     counted = docs.select(F.col(id).alias("id"), T.tokenize(F.coalesce(F.col(text), F.lit(""))).alias("tokens")).where("size(tokens) > 0")
     stats = counted.agg(F.count("*").alias("n_docs"), F.avg(F.size("tokens")).alias("mean_len"))
-    asked = query_tokens(queries).select("qid", "token")
-    terms = counted.select("id", F.size("tokens").alias("len"), F.explode("tokens").alias("token")).join(asked.select("token").distinct(), "token", "left_semi")
+    terms = counted.select("id", F.size("tokens").alias("len"), F.explode("tokens").alias("token")).join(tokens, "token", "left_semi")
     tf = terms.groupBy("id", "token", "len").agg(F.count("*").alias("tf"))
     df = tf.groupBy("token").agg(F.count("*").alias("df"))
     k1, b = V.BM25_K1, V.BM25_B
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean_len")))
-    per_term = tf.join(df, "token").crossJoin(F.broadcast(stats)).select("id", "token", weight.alias("weight"))  # one row of statistics
-    return per_term.join(asked, "token").groupBy("qid", "id").agg(F.sum("weight").alias("score"))
+    return tf.join(df, "token").crossJoin(F.broadcast(stats)).select("id", "token", weight.alias("weight"))  # one row of statistics
+
+
+def bm25(queries: DataFrame, docs: DataFrame, id: str, text: str) -> DataFrame:
+    """(qid, id, score) of the documents that hold any token of a query."""
+    asked = query_tokens(queries).select("qid", "token")
+    return bm25_terms(asked.select("token").distinct(), docs, id, text).join(asked, "token").groupBy("qid", "id").agg(F.sum("weight").alias("score"))
+
+
+def store_postings(files: DataFrame, folder: str, buckets: int = 256) -> None:
+    """Write the postings of files as a table in which a token's rows lie in one folder by its hash, sorted
+    by token, in as many files as hot tokens need."""
+    own = postings(files).withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int"))
+    own = own.repartition(F.col("bucket"), F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "token", "id")
+    own.write.mode("overwrite").partitionBy("bucket").parquet(folder)
+
+
+def stored_postings(queries: DataFrame, folder: str, tokens: list[str] | None = None, buckets: int = 256) -> DataFrame:
+    """(id, field, token) of a stored table for the tokens of queries: only their folders are read. ``tokens``
+    are those to read, else the queries' own (a stated set)."""
+    spark = queries.sparkSession
+    wanted = sorted(tokens if tokens is not None else {r.token for r in query_tokens(queries).select("token").distinct().collect()})
+    rows = spark.read.parquet(folder)
+    if not wanted:
+        return rows.where("false").select("id", "field", "token")
+    where = [r.b for r in spark.createDataFrame([(t,) for t in wanted], "token string").select(F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int").alias("b")).distinct().collect()]
+    return rows.where(F.col("bucket").isin(where) & F.col("token").isin(wanted)).select("id", "field", "token")
 
 
 def lexical(queries: DataFrame, files: DataFrame) -> DataFrame:
@@ -108,21 +132,18 @@ def _matrix(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
     return x[good] / length[good, None], rows[good]
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, most: int) -> DataFrame:
-    """(qid, id, score, place): the nearest of (id, v) to each of (qid, q) by cosine. Vectors with null
-    or NaN, of zeros only or of another length than the query's are near to nothing.
-
-    The queries, a stated set, go to every block of vectors, QUERY_BLOCK at a time so that what is
-    sent stays bounded; each task multiplies whole blocks and keeps the best of each query."""
-    spark = queries.sparkSession
-    asked = queries.where("q IS NOT NULL").orderBy("qid").toArrow()
-    id_type, out = dict(queries.dtypes)["qid"], None
-    schema = f"qid {id_type}, id bigint, score double"
-    sizes = pc.list_value_length(asked["q"]).to_numpy() if asked.num_rows else np.zeros(0, dtype=int)
-    for dims in sorted(set(sizes.tolist())):
-        own = np.nonzero(sizes == dims)[0]
-        for at in range(0, len(own), QUERY_BLOCK):
-            part = asked.take(pa.array(own[at : at + QUERY_BLOCK]))
+def _scanned(queries: DataFrame, vectors: DataFrame, most: int | None) -> DataFrame:
+    """(qid, id, score): the cosines of all (id, v), or of at least the ``most`` nearest of each task, to
+    each of (qid, q). The queries, a stated set, are read and sent QUERY_BLOCK at a time, so that
+    what the driver holds stays bounded; each task multiplies whole blocks."""
+    spark, schema, out = queries.sparkSession, f"qid {dict(queries.dtypes)['qid']}, id bigint, score double", None
+    stated = queries.where("q IS NOT NULL").select("qid", "q", F.size("q").alias("dims"))
+    sizes = {r.dims: r["count"] for r in stated.groupBy("dims").count().collect()}
+    for dims, n in sorted(sizes.items()):
+        blocks = -(-n // QUERY_BLOCK)
+        for k in range(blocks):
+            part = stated.where(F.col("dims") == dims)
+            part = (part if blocks == 1 else part.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == k)).orderBy("qid").toArrow()
             matrix, rows = _matrix(part["q"], dims)
             sent = spark.sparkContext.broadcast((matrix, part["qid"].take(pa.array(rows)).combine_chunks(), dims))
 
@@ -133,13 +154,24 @@ def nearest(queries: DataFrame, vectors: DataFrame, most: int) -> DataFrame:
                     if not len(x) or not len(matrix):
                         continue
                     scores = np.clip(matrix @ x.T, -1.0, 1.0)
-                    keep = scores >= np.partition(scores, -min(most, scores.shape[1]), axis=1)[:, -min(most, scores.shape[1]), None]
-                    q, i = np.nonzero(keep)
+                    least = -min(most if most is not None else scores.shape[1], scores.shape[1])
+                    q, i = np.nonzero(scores >= np.partition(scores, least, axis=1)[:, least, None])
                     yield pa.RecordBatch.from_arrays([qids.take(pa.array(q)), b.column("id").take(pa.array(rows[i])).cast(pa.int64()), pa.array(scores[q, i])], names=["qid", "id", "score"])
 
             found = vectors.select(F.col("id").cast("long"), "v").mapInArrow(scan, schema)
             out = found if out is None else out.unionByName(found)
-    return best(out if out is not None else spark.createDataFrame([], schema), most)
+    return out if out is not None else spark.createDataFrame([], schema)
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, most: int) -> DataFrame:
+    """(qid, id, score, place): the nearest of (id, v) to each of (qid, q) by cosine. Vectors with null
+    or NaN, of zeros only or of another length than the query's are near to nothing."""
+    return best(_scanned(queries, vectors, most), most)
+
+
+def all_scores(queries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(qid, id, score): the cosines of all usable (id, v) of the same length to each of (qid, q)."""
+    return _scanned(queries, vectors, None)
 
 
 def fused(lists: list[tuple[DataFrame, float]], most: int, k: float = V.FUSION["k"]) -> DataFrame:
@@ -151,49 +183,23 @@ def fused(lists: list[tuple[DataFrame, float]], most: int, k: float = V.FUSION["
     return best(union.groupBy("qid", "id").agg(F.sum("s").alias("score")), most)
 
 
-def hybrid(queries: DataFrame, files: DataFrame, keyword_texts: DataFrame, most: int = 20, pool: int = 100) -> DataFrame:
-    """(qid, id, score, place): lexical, keyword and vector retrieval fused. A query's vector is the
-    mean vector of its five best files by words."""
-    by_fields = cut(best(lexical(queries, files), pool))  # at most ``pool`` rows of each query, used three times
-    keyed = keyword_texts.join(files.select("id", "device_id", "path"), ["device_id", "path"])
-    by_words = best(bm25(queries, keyed, "id", "keywords"), pool)
-    vectors = files.select("id", F.col("embedding").alias("v"))
-    seeds = by_fields.where("place <= 5").join(vectors, "id").where(VX.usable(F.col("v"))).select("qid", F.posexplode(VX.unit(F.col("v"))).alias("i", "x"))
-    mean = seeds.groupBy("qid", "i").agg(F.avg("x").alias("x")).groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"].cast("float")).alias("q"))
-    near = nearest(mean, vectors, pool)
-    return fused([(by_fields, V.FUSION["lexical"]), (by_words, V.FUSION["dense"]), (near, V.FUSION["dense"])], most)
-
-
-def limits(n: int) -> dict[str, int]:
+def limits(n: int, wide: bool = False) -> dict[str, int]:
     """How many candidates each stage keeps for a library of ``n`` files."""
-    dense = 50 if n <= 2000 else 80 if n <= 5000 else 120 if n <= 10_000 else 200 if n <= 20_000 else min(350, 80 + n // 70)
-    return {
-        "dense": dense, "fused": min(100, max(30, n // 250)), "dense_pins": min(60, max(15, dense // 5)), "rerank_pool": min(180, max(45, dense * 2 // 3)),
-        "lexical": min(120, max(50, n // 200)), "keyword": min(2500, 600 + n // 15), "category": min(1500, 500 + n // 30), "candidates": min(4000, max(1800, n // 8)),
-        "token": min(120, max(80, n // 200)), "exact_pins": min(60, max(40, n // 400)), "lexical_pins": min(35, max(25, n // 800)),
-    }
-
-
-def reranked(fused_list: DataFrame, lexical_list: DataFrame, dense_list: DataFrame) -> DataFrame:
-    """(qid, id, score, place): fused candidates scored again by their relative lexical score and cosine."""
-    lex = lexical_list.select("qid", "id", F.col("score").alias("lex"))
-    top = lex.groupBy("qid").agg(F.greatest(F.max("lex"), F.lit(1.0)).alias("top"))
-    dense = dense_list.select("qid", "id", F.col("score").alias("cos"))
-    both = fused_list.select("qid", "id").join(lex, ["qid", "id"], "left").join(dense, ["qid", "id"], "left").join(top, "qid", "left")
-    part = F.coalesce(F.col("lex"), F.lit(0.0)) / F.coalesce("top", F.lit(1.0))
-    cos = F.coalesce("cos", F.lit(0.0))
-    score = F.when(part > 0.65, 0.55 * part + 0.45 * cos).when(part < 0.12, 0.10 * part + 0.90 * cos).otherwise(0.30 * part + 0.70 * cos)
-    return best(both.select("qid", "id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)).alias("score")), 1_000_000)
-
-
-def rank_of(scored: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(qid, id, rank): the true rank of wanted (qid, id) among all scored rows of a query, ties alike."""
-    ours = scored.join(wanted, ["qid", "id"], "left_semi").select("qid", "id", F.col("score").alias("own"))
-    others = scored.select("qid", "score").alias("o")
-    higher = others.join(ours.alias("w"), F.expr("o.qid = w.qid AND o.score > w.own")).groupBy("w.qid", "w.id").agg(F.count("*").alias("n"))
-    return ours.join(higher, ["qid", "id"], "left").select("qid", "id", (F.coalesce("n", F.lit(0)) + 1).alias("rank"))
-
-
+    dense = next((k for most, k in V.DENSE_LIMITS if n <= most), min(V.DENSE_MOST, V.DENSE_BASE + n // V.DENSE_DIVISOR))
+    table = V.LIMITS | (V.WIDE_LIMITS if wide else {})
+    out = {name: min(most, max(least, base + n // divisor)) for name, (least, most, base, divisor) in table.items()}
+    return out | {"dense": dense} | {name: min(most, max(least, dense * times // divisor)) for name, (least, most, times, divisor) in V.DENSE_PARTS.items()}
+
+
+def rank_of(scored: DataFrame, wanted: DataFrame, bins: int = 4096) -> DataFrame:
+    """(qid, id, rank): the true rank of wanted (qid, id) among all scored rows of a query, ties alike. Scores
+    are counted in bins first, so that no query is ranked in one task."""
+    ends = scored.groupBy("qid").agg(F.min("score").alias("low"), F.max("score").alias("high"))
+    placed = scored.join(ends, "qid").withColumn("bin", F.when(F.col("high") > F.col("low"), F.floor((F.col("high") - F.col("score")) / (F.col("high") - F.col("low")) * bins)).otherwise(0)).drop("low", "high")
+    counts = placed.groupBy("qid", "bin").agg(F.count("*").alias("n"))
+    before = counts.select("qid", "bin", (F.sum("n").over(W.partitionBy("qid").orderBy("bin")) - F.col("n")).alias("before"))
+    within = placed.withColumn("k", F.rank().over(W.partitionBy("qid", "bin").orderBy(F.desc("score"))))
+    return within.join(wanted.select("qid", "id").distinct(), ["qid", "id"], "left_semi").join(before, ["qid", "bin"]).select("qid", "id", (F.col("before") + F.col("k")).alias("rank"))
 
 
 def coverage(queries: DataFrame, files: DataFrame) -> DataFrame:

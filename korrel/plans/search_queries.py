@@ -10,6 +10,7 @@ from korrel.functions import vectors as VX
 from korrel.operators import enrichment, events
 from korrel.operators import index as I
 from korrel.operators import retrieval as R
+from korrel.operators import search as SE
 from korrel.plans.index_queries import LATEST, STEM, TOKENS
 from korrel.session import table
 
@@ -115,9 +116,10 @@ def search_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best files for every golden query by words, keywords and vectors together."""
+    """The best files for every golden query by words, keywords and vectors together, reranked, with a
+    wider second pass for queries that find little."""
     files = now(spark, sf_dir)
-    found = R.hybrid(golden(spark, sf_dir), files, table(spark, sf_dir, "fts_index"))
+    found = SE.search(golden(spark, sf_dir), SE.library(files, table(spark, sf_dir, "fts_index")))
     return found.join(files.select("id", "device_id", "path"), "id").select("qid", "place", "id", "device_id", "path", F.round("score", 8).alias("score"))
 
 
@@ -141,8 +143,9 @@ def tracked_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The true rank of every vector of a query's own label among all."""
     rows = table(spark, sf_dir, "embeddings")
     asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"), F.col("label").alias("own"))
-    scored = rows.crossJoin(F.broadcast(asked)).select("qid", F.col("vec_id").alias("id"), F.round(VX.dot(F.col("q"), F.col("embedding")), 5).alias("score"), (F.col("label") == F.col("own")).alias("same"))
-    return R.rank_of(scored.select("qid", "id", "score"), scored.where("same").select("qid", "id"))
+    labels = asked.select("qid", "own").join(rows.select(F.col("vec_id").alias("id"), F.col("label").alias("own")), "own").select("qid", "id")
+    scored = R.all_scores(asked.select("qid", "q"), rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))).withColumn("score", F.round("score", 5))
+    return R.rank_of(scored, labels)
 
 
 @query()
@@ -198,7 +201,12 @@ def golden_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.golden_report(events.once(table(spark, sf_dir, "search_completed")), table(spark, sf_dir, "golden_queries"))
 
 
-@query()
+@query(
+    f"""WITH {ONCE}, e AS (SELECT device_id, query, event_ts AS ts, 0 AS kind, NULL AS event_id, NULL AS clicked_rank, NULL AS clicked_path, coalesce(results, '[]') AS results FROM once
+  UNION ALL SELECT device_id, query, event_ts, 1, event_id, clicked_rank, clicked_path, NULL FROM result_clicked),
+l AS (SELECT *, last_value(results IGNORE NULLS) OVER (PARTITION BY device_id, query ORDER BY ts, kind, results NULLS FIRST, event_id ROWS UNBOUNDED PRECEDING) AS last FROM e)
+SELECT event_id, clicked_rank, nullif(list_position(CAST(from_json(last, '["VARCHAR"]') AS VARCHAR[]), clicked_path), 0) AS shown_place FROM l WHERE kind = 1"""
+)
 def click_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the search before a click had shown what was clicked."""
     return events.click_ranks(table(spark, sf_dir, "result_clicked"), events.once(table(spark, sf_dir, "search_completed")))
