@@ -16,14 +16,10 @@ CLEAN_WORDS = 10
 ALIASES = {form: [x for x in group if len(x) > 1] for group in V.ALIAS_GROUPS for form in group}
 
 
-def _map(pairs: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
-
-
 def asked_language(query: Column, phrases: dict[str, list[str]] = V.LANGUAGE_PHRASES) -> Column:
     """(hint, stripped): the language that a query asks for, the last one of several, and the query
     without the phrases that say so."""
-    every = F.array(*[F.struct(F.lit(lang).alias("lang"), F.lit(p).alias("phrase")) for lang, ps in phrases.items() for p in sorted(ps, key=len, reverse=True)])
+    every = F.expr("array(" + ", ".join(f"named_struct('lang', {T.quoted(lang)}, 'phrase', {T.quoted(p)})" for lang, ps in phrases.items() for p in sorted(ps, key=len, reverse=True)) + ")")
     start = F.struct(F.lower(query).alias("text"), F.lit(None).cast("string").alias("hint"))
     found = F.aggregate(every, start, lambda a, p: F.when(a["text"].contains(p["phrase"]), F.struct(F.replace(a["text"], p["phrase"], F.lit(" ")).alias("text"), p["lang"].alias("hint"))).otherwise(a))
     return F.transform(F.array(found), lambda a: F.struct(a["hint"].alias("hint"), F.trim(F.regexp_replace(a["text"], r"\s+", " ")).alias("stripped")))[0]
@@ -31,7 +27,7 @@ def asked_language(query: Column, phrases: dict[str, list[str]] = V.LANGUAGE_PHR
 
 def everyday(text: Column, words: dict[str, str] = V.COLLOQUIAL) -> Column:
     """A text with everyday words of other languages in English, and no marks around words."""
-    known = _map(words)
+    known = T.lookup_map(words)
     bare = F.filter(F.transform(F.split(F.lower(text), r"\s+"), lambda w: F.btrim(w, F.lit(".,?!\"'"))), lambda w: F.trim(w) != "")
     return F.array_join(F.transform(bare, lambda w: F.coalesce(known[w], w)), " ")
 
@@ -69,7 +65,7 @@ def clean_query(text: Column, stops: list[str] = STOPS) -> Column:
 def spoken(text: Column, stops: list[str] = STOPS) -> Column:
     """A spoken query as it is shown: cleaned, with the phrase of its language at the end."""
     plain = F.trim(F.regexp_replace(F.trim(text), r"\s+", " "))
-    return F.transform(F.array(asked_language(plain)), lambda a: F.concat_ws(" ", or_else(without_stops(everyday(a["stripped"]), stops), or_else(a["stripped"], plain)), _map(V.LANGUAGE_PHRASE)[a["hint"]]))[0]
+    return F.transform(F.array(asked_language(plain)), lambda a: F.concat_ws(" ", or_else(without_stops(everyday(a["stripped"]), stops), or_else(a["stripped"], plain)), T.lookup_map(V.LANGUAGE_PHRASE)[a["hint"]]))[0]
 
 
 def aliases_of(tokens: Column) -> Column:
@@ -80,7 +76,8 @@ def aliases_of(tokens: Column) -> Column:
 def with_synonyms(text: Column) -> Column:
     """A text followed by what its words stand for, in the order of the list."""
     tokens = T.tokenize(text)
-    return F.concat_ws(" ", text, *[F.when(F.array_contains(tokens, w), F.lit(more)) for w, more in V.SYNONYMS.items()])
+    every = F.expr("array(" + ", ".join(f"named_struct('word', {T.quoted(w)}, 'more', {T.quoted(more)})" for w, more in V.SYNONYMS.items()) + ")")
+    return F.array_join(F.concat(F.array(text), F.transform(F.filter(every, lambda e: F.array_contains(tokens, e["word"])), lambda e: e["more"])), " ")
 
 
 def hits_of(text: Column, tokens: Column, signals: list[str]) -> Column:

@@ -110,13 +110,12 @@ def keyword_tiers(asked: DataFrame, lib: Library, most: int) -> DataFrame:
     return R.best(best, most).select("qid", "id", "score", F.col("place").alias("ord"))
 
 
-def candidates(asked: DataFrame, lib: Library, wide: bool = False) -> DataFrame:
-    """(qid, id, tier, pos): what is scored for each query: files by name, by content, by keywords, of the
-    categories asked for, and the newest where a query isn't specific and keywords find little."""
+def candidates(asked: DataFrame, lib: Library, names: DataFrame, words: DataFrame, wide: bool = False) -> DataFrame:
+    """(qid, id, tier, pos): what is scored for each query: files by name (``names``), by content, by
+    keywords (``words``), of the categories asked for, and the newest where a query isn't specific and
+    keywords find little."""
     n = R.limits(lib.size, wide)
-    names = field_matches(asked, lib, ["name"], n["token"]).select("qid", "id", "ord")
     contents = field_matches(asked, lib, ["content", "metadata", "entity"], n["token"]).select("qid", "id", "ord")
-    words = keyword_tiers(asked, lib, n["keyword"])
     wanted = asked.select("qid", F.explode("q.categories").alias("category"))
     order = W.partitionBy("category").orderBy(F.desc("last_modified"), "id")
     of_category = lib.files.select("id", "last_modified", F.explode(F.array_distinct("categories")).alias("category")).withColumn("ord", F.row_number().over(order)).where(F.col("ord") <= n["category"])
@@ -126,7 +125,7 @@ def candidates(asked: DataFrame, lib: Library, wide: bool = False) -> DataFrame:
     open_queries = asked.join(few, "qid", "left").where(vague & (F.coalesce("n", F.lit(0)) < (80 if wide else 40))).select("qid")
     newest = lib.files.select("id", "last_modified").orderBy(F.desc("last_modified"), "id").limit(n["recent"]).withColumn("ord", F.row_number().over(W.orderBy(F.desc("last_modified"), "id")))
     recent = open_queries.crossJoin(F.broadcast(newest.select("id", "ord")))  # at most as many rows as the limit says
-    return R.pooled([(names, True), (contents, True), (words.select("qid", "id", "ord"), False), (by_category, False), (recent, False)], n["candidates"])
+    return R.pooled([(names.select("qid", "id", "ord"), True), (contents, True), (words.select("qid", "id", "ord"), False), (by_category, False), (recent, False)], n["candidates"])
 
 
 def _rows(pairs: DataFrame, asked: DataFrame, lib: Library) -> DataFrame:
@@ -143,14 +142,15 @@ def scored(pairs: DataFrame, asked: DataFrame, lib: Library) -> DataFrame:
     return _rows(pairs.select("qid", "id"), asked, lib).select("qid", "id", score.alias("score")).where("score > 0")
 
 
-def one_pass(asked: DataFrame, lib: Library, dense: DataFrame, vectors: DataFrame, query_vectors: DataFrame, most: int, wide: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(results, lexical list, rerank pool) of one pass. ``dense`` is (qid, id, score, place) of the
-    nearest vectors, ``vectors`` (id, v) of all files, ``query_vectors`` (qid, q)."""
+def one_pass(asked: DataFrame, lib: Library, names: DataFrame, keyed: DataFrame, dense: DataFrame, vectors: DataFrame, query_vectors: DataFrame, most: int, wide: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(results, lexical list, rerank pool) of one pass. ``names`` and ``keyed`` are the files by name and
+    by keywords, ``dense`` (qid, id, score, place) the nearest vectors, ``vectors`` (id, v) those of all
+    files, ``query_vectors`` (qid, q)."""
     n = R.limits(lib.size, wide)
-    pool = candidates(asked, lib, wide)
+    pool = candidates(asked, lib, names, keyed, wide)
     words = cut(R.best(scored(pool, asked, lib), n["lexical"]))
     fused = R.fused([(words, V.FUSION["lexical"]), (dense, V.FUSION["dense"])], n["fused"])
-    exact = field_matches(asked, lib, ["name"], n["exact_pins"]).where("tier = 'strict'")
+    exact = names.where((F.col("tier") == "strict") & (F.col("ord") <= n["exact_pins"]))
     sources = [
         (exact.select("qid", "id", (-F.col("ord")).alias("ord")), False), (fused.select("qid", "id", F.col("place").alias("ord")), False),
         (dense.where(F.col("place") <= n["dense_pins"]).select("qid", "id", F.col("place").alias("ord")), False), (words.where(F.col("place") <= n["lexical_pins"]).select("qid", "id", F.col("place").alias("ord")), False),
@@ -202,9 +202,9 @@ def better_of(results: DataFrame, wider: DataFrame) -> DataFrame:
     return results.join(chosen.where("NOT wide"), "qid", "left_semi").unionByName(wider.join(chosen.where("wide"), "qid", "left_semi"))
 
 
-def query_vectors(asked: DataFrame, lib: Library, vectors: DataFrame) -> DataFrame:
+def query_vectors(keyed: DataFrame, vectors: DataFrame) -> DataFrame:
     """(qid, q): the mean unit vector of a query's five best files by keywords, where no encoder gives its own."""
-    seeds = keyword_tiers(asked, lib, 5).select("qid", "id").join(vectors, "id").where(VX.usable(F.col("v"))).select("qid", F.posexplode(VX.unit(F.col("v"))).alias("i", "x"))
+    seeds = keyed.where(F.col("ord") <= 5).select("qid", "id").join(vectors, "id").where(VX.usable(F.col("v"))).select("qid", F.posexplode(VX.unit(F.col("v"))).alias("i", "x"))
     mean = seeds.groupBy("qid", "i").agg(F.avg("x").alias("x")).groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"].cast("float")).alias("q"))
     return mean.withColumn("q", VX.unit(F.col("q")))
 
@@ -213,14 +213,16 @@ def search(queries: DataFrame, lib: Library, most: int = 20, asker: list[str] |
     """(qid, id, score, place, lexical_place, dense_place): the best files of each of (qid, query). ``given``
     are the queries' vectors (qid, q) of an encoder. Queries that the first pass answers badly are
     asked again with wider limits. Queries without any token, null ones too, find nothing by words."""
-    asked = cut(prepared(queries, asker))
+    asked, n = cut(prepared(queries, asker)), R.limits(lib.size)
     vectors = lib.files.select("id", F.col("embedding").alias("v"))
-    own = cut(given if given is not None else query_vectors(asked, lib, vectors))
-    dense = cut(R.nearest(own, vectors, R.limits(lib.size)["dense"]))
-    results, words, _ = one_pass(asked, lib, dense, vectors, own, most)
+    names, keyed = cut(field_matches(asked, lib, ["name"], n["token"])), cut(keyword_tiers(asked, lib, n["keyword"]))
+    own = cut(given if given is not None else query_vectors(keyed, vectors))
+    dense = cut(R.nearest(own, vectors, n["dense"]))
+    results, words, _ = one_pass(asked, lib, names, keyed, dense, vectors, own, most)
     results = cut(results)
     again = cut(asked.join(needs_wider(asked, results, words, dense), "qid", "left_semi"))
     if again.isEmpty():
         return results
-    wider, _, _ = one_pass(again, lib, dense.join(again.select("qid"), "qid", "left_semi"), vectors, own, most, wide=True)
+    only = lambda df: df.join(again.select("qid"), "qid", "left_semi")
+    wider, _, _ = one_pass(again, lib, only(names), cut(keyword_tiers(again, lib, R.limits(lib.size, True)["keyword"])), only(dense), vectors, own, most, wide=True)
     return better_of(results, cut(wider))

@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from korrel.functions import forms as Q
+from korrel.functions import text as T
 from korrel.functions import values as V
-from korrel.functions import vectors as VX
 from korrel.operators import enrichment, events
 from korrel.operators import index as I
 from korrel.operators import retrieval as R
 from korrel.operators import search as SE
+from korrel.plans.form_queries import ALIAS_MAP, FORMS, HINT, LIKE_NAME, hits_sql, texts, two_best_sql
+from korrel.plans.form_queries import KIND as ASKED_KIND
 from korrel.plans.index_queries import LATEST, STEM, TOKENS
-from korrel.session import table
+from korrel.session import cut, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -39,6 +42,7 @@ def now(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.latest(table(spark, sf_dir, "indexed_files"))
 
 
+EXPANDED = "clean, " + ", ".join(f"CASE WHEN list_contains({TOKENS.format('clean')}, {texts([w])[1:-1]}) THEN {texts([m])[1:-1]} END" for w, m in V.SYNONYMS.items())
 ASKED = f"asked AS (SELECT qid, len(tokens) AS n_tokens, unnest(tokens) AS token FROM (SELECT DISTINCT query AS qid, list_distinct({TOKENS.format('query')}) AS tokens FROM golden_queries))"
 POSTINGS = rf"""fields AS (
   SELECT id, 'name' AS field, list_distinct(list_filter(string_split_regex({STEM}, '\s+'), lambda t: trim(t) <> '')) AS tokens FROM latest
@@ -48,6 +52,8 @@ POSTINGS = rf"""fields AS (
   UNION ALL SELECT id, 'extension', [lower(extension)] FROM latest),
 postings AS (SELECT id, field, unnest(tokens) AS token FROM fields),
 hits AS (SELECT a.qid, a.n_tokens, p.id, p.field, p.token FROM postings p JOIN asked a ON p.token = a.token)"""
+#: The tokens of golden queries beside another table of the name ``asked``.
+QTOKENS = ASKED.replace("asked AS", "golden_tokens AS", 1)
 BASE = f"WITH {LATEST}, {ASKED}, {POSTINGS}"
 LEXICAL = f"""summed AS (SELECT qid, id, n_tokens, sum(CASE field WHEN 'name' THEN 100.0 WHEN 'extension' THEN 40.0 WHEN 'content' THEN 35.0 WHEN 'metadata' THEN 8.0 ELSE 55.0 END) AS fields,
   count(DISTINCT CASE WHEN field = 'name' THEN token END) AS in_name FROM hits GROUP BY qid, id, n_tokens),
@@ -123,6 +129,84 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(files.select("id", "device_id", "path"), "id").select("qid", "place", "id", "device_id", "path", F.round("score", 8).alias("score"))
 
 
+def _pool(spark: SparkSession, sf_dir: str):
+    """The golden queries prepared, the library, and the files that share a word with them in any field."""
+    files = now(spark, sf_dir)
+    lib = SE.library(files, table(spark, sf_dir, "fts_index"))
+    asked = SE.prepared(golden(spark, sf_dir))
+    return asked, lib, R.hits(golden(spark, sf_dir), files).select("qid", "id").distinct()
+
+
+def _has(words: str, token: str) -> str:
+    return f"(CASE WHEN length({token}) >= 3 THEN list_contains({words}, {token}) ELSE len(list_filter({words}, lambda w: starts_with(w, {token}) OR ends_with(w, {token}))) > 0 END)"
+
+
+def _total(tokens: str, points: str) -> str:
+    return f"coalesce(list_sum(list_transform({tokens}, lambda t: CAST({points} AS DOUBLE))), 0)"
+
+
+L = V.LEXICAL
+WORDS_OF = r"list_filter(string_split_regex(lower(coalesce({0}, '')), '\s+'), lambda x: trim(x) <> '')"
+NAMES_IT = "len(list_filter(core, lambda q: q = n OR length(q) <= 2 AND (starts_with(n, q) OR ends_with(n, q)))) > 0"
+TOKEN_POINTS = (
+    f"(CASE WHEN stem = t OR raw = concat(t, '.', ext) THEN {L['name_exact']} WHEN starts_with(stem, concat(t, ' ')) OR ends_with(stem, concat(' ', t)) THEN {L['name_edge']} WHEN {_has('name_words', 't')} THEN {L['name_inside']} ELSE 0 END"
+    f" + CASE WHEN ext = t THEN {L['extension']} ELSE 0 END" + "".join(f" + CASE WHEN {_has(f, 't')} THEN {L[k]} ELSE 0 END" for k, f in (("folder", "folder_words"), ("metadata", "meta_words"), ("content", "content_words"), ("entity", "entity_words")))
+    + f") * CASE WHEN list_contains(core, t) THEN 1.0 ELSE {L['other']} END"
+)
+IS_HINDI = f"(regexp_matches({{0}}, '[{V.SCRIPTS['devanagari']}]') OR contains(lower({{0}}), 'hindi') OR contains(lower({{0}}), 'devanagari'))"
+#: The only language that the golden queries ask for.
+HINDI_FACTOR = (
+    f"CASE WHEN language IS NULL THEN 1.0 WHEN {IS_HINDI.format('file_name')} THEN 1.5 WHEN {IS_HINDI.format('body')} AND NOT regexp_matches(file_name, '[{V.SCRIPTS['latin']}]') THEN 1.2"
+    f" WHEN regexp_matches(file_name, '[{V.SCRIPTS['latin']}]') OR NOT {IS_HINDI.format('body')} THEN 0.7 ELSE 0.85 END"
+)
+SCORED = rf"""q AS (SELECT f.query AS qid, core, {HINT} AS language, list_distinct(list_concat(core, flatten(list_transform(CASE WHEN len(core) > 0 THEN core ELSE {TOKENS.format('stripped')} END, lambda t: list_concat([t], coalesce({ALIAS_MAP}[t], [])))))) AS tokens,
+  list_transform(regexp_extract_all(lower(f.query), '(?:q|quarter )([1-4])', 1), lambda x: concat('q', x)) AS periods, len(core) BETWEEN 1 AND 2 AND len(list_intersect(core, {texts(Q.SIGNAL_WORDS)})) = 0 AND len(list_filter(core, lambda t: NOT {LIKE_NAME.format('t')})) = 0 AS person,
+  {two_best_sql([(c, hits_sql('lower(f.query)', TOKENS.format('f.query'), s), str(i)) for i, (c, s) in enumerate(V.CATEGORY_SIGNALS.items())])} AS categories, {ASKED_KIND} AS kind, clean FROM (SELECT *, len(list_filter(string_split_regex(clean, '\s+'), lambda t: trim(t) <> '')) AS n_clean FROM forms) f WHERE f.query IN (SELECT query FROM golden_queries)),
+w AS (SELECT id, name AS file_name, concat_ws(' ', lower(metadata_str), lower(content_snip)) AS body, {STEM} AS stem, lower(name) AS raw, lower(extension) AS ext, {WORDS_OF.format(STEM)} AS name_words, {WORDS_OF.format("string_split(path, '/')[-2]")} AS folder_words, {WORDS_OF.format('metadata_str')} AS meta_words, {WORDS_OF.format('content_snip')} AS content_words, {WORDS_OF.format('entities')} AS entity_words FROM latest),
+pairs AS (SELECT q.*, w.* FROM (SELECT DISTINCT qid, id FROM hits) h JOIN q ON q.qid = h.qid JOIN w ON w.id = h.id),
+p AS (SELECT *, len(list_filter(core, lambda t: {_has('entity_words', 't')})) AS n_entity, CASE WHEN len(name_words) > 0 AND len(core) > 0 THEN len(list_filter(name_words, lambda n: {NAMES_IT})) / len(name_words) ELSE 0 END AS covered,
+  list_filter({TOKENS.format("concat_ws(' ', " + EXPANDED + ")")}, lambda t: NOT list_contains(tokens, t)) AS more FROM pairs),
+s AS (SELECT qid, id, ext, core, kind, categories, {HINDI_FACTOR} AS by_language, {_total('tokens', TOKEN_POINTS)} + CASE WHEN person AND len(core) > 0 AND len(entity_words) > 0 THEN CASE WHEN n_entity = len(core) THEN {L['person_all']} ELSE n_entity * {L['person_each']} END ELSE 0 END + covered * 80.0 + CASE WHEN covered = 1 THEN 100.0 ELSE 0 END
+  + {_total('list_distinct(periods)', f"CASE WHEN {_has('name_words', 't')} OR {_has('meta_words', 't')} THEN {L['period']} ELSE 0 END")}
+  + CASE WHEN len(core) < 2 AND len(periods) = 0 THEN {_total(f"list_filter(more, lambda x, i: list_position(more, x) = i)[1:{L['most_synonyms']}]", f"CASE WHEN {_has('name_words', 't')} THEN {L['synonym_name']} ELSE 0 END + CASE WHEN {_has('meta_words', 't')} THEN {L['synonym_metadata']} ELSE 0 END")} ELSE 0 END AS base FROM p),
+k AS (SELECT *, CASE WHEN kind = 'audio music' THEN {V.AUDIO!r} WHEN kind = 'video' THEN {V.VIDEO!r} WHEN kind = 'photo image' THEN {V.IMAGES!r} WHEN list_contains(categories, 'MEDIA') AND list_has_any(core, {V.MEDIA_WORDS!r}) THEN {(V.AUDIO + V.VIDEO + V.IMAGES)!r} END AS good, coalesce(kind IN ('audio music', 'video', 'photo image'), FALSE) AS sure FROM s),
+scored AS (SELECT qid, id, CASE WHEN base <= 0 THEN 0 ELSE base * by_language * CASE WHEN good IS NULL THEN 1.0 WHEN list_contains(good, ext) THEN CASE WHEN sure THEN {L['type_match']} ELSE {L['media_match']} END WHEN list_contains({V.DOCUMENTS!r}, ext) THEN {L['mismatch']} ELSE 1.0 END END AS score FROM k)"""
+
+
+@query(f"WITH {LATEST}, {FORMS}, {QTOKENS}, {POSTINGS.replace('JOIN asked a', 'JOIN golden_tokens a')}, {SCORED} SELECT qid, id, round(score, 4) AS score FROM scored WHERE score > 0")
+def search_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole score by words of every file that shares a word with a golden query."""
+    asked, lib, pairs = _pool(spark, sf_dir)
+    asked = asked.withColumn("q", F.col("q").withField("target", F.array().cast("array<string>")))
+    return SE.scored(pairs, asked, lib).select("qid", "id", F.round("score", 4).alias("score"))
+
+
+@query()
+def search_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the wanted files of golden queries come in every stage of the search, and why not higher."""
+    files = now(spark, sf_dir)
+    lib = SE.library(files, table(spark, sf_dir, "fts_index"))
+    asked, n = cut(SE.prepared(golden(spark, sf_dir))), R.limits(lib.size)
+    vectors = files.select("id", F.col("embedding").alias("v"))
+    names, keyed = cut(SE.field_matches(asked, lib, ["name"], n["token"])), cut(SE.keyword_tiers(asked, lib, n["keyword"]))
+    own = cut(SE.query_vectors(keyed, vectors))
+    dense = cut(R.nearest(own, vectors, n["dense"]))
+    results, words, pool = SE.one_pass(asked, lib, names, keyed, dense, vectors, own, 20)
+    targets = table(spark, sf_dir, "golden_queries").select(F.col("query").alias("qid"), F.col("expected_substring").alias("hint"))
+    return events.verdicts(targets, results, words, dense, SE.candidates(asked, lib, names, keyed), pool, files, n["dense"])
+
+
+@query(
+    f"""WITH {BASE[5:]}, n AS (SELECT qid, id, n_tokens, count(DISTINCT token) AS n FROM hits WHERE field IN ('content', 'metadata', 'entity') GROUP BY qid, id, n_tokens), s AS (SELECT *, sum(CASE WHEN n = n_tokens THEN 1 ELSE 0 END) OVER (PARTITION BY qid) AS n_full FROM n),
+k AS (SELECT s.qid, s.id, n = n_tokens AS is_full, row_number() OVER (PARTITION BY s.qid ORDER BY n / n_tokens DESC, l.last_modified DESC, s.id) AS ord FROM s JOIN latest l ON l.id = s.id WHERE n = n_tokens OR n_full < 3) SELECT qid, id, CASE WHEN is_full THEN 'strict' ELSE 'relaxed' END AS tier, ord FROM k WHERE ord <= 80"""
+)
+def search_content_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 80 newest files whose text, description and entities hold all words, or any where few hold all."""
+    q = golden(spark, sf_dir)
+    asked = q.select("qid", F.struct(F.array(T.tokenize(F.col("query"))).alias("groups")).alias("q"))
+    return SE.field_matches(asked, SE.library(now(spark, sf_dir), table(spark, sf_dir, "fts_index")), ["content", "metadata", "entity"], 80)
+
+
 @query(
     """WITH n AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) AS len FROM embeddings),
 s AS (SELECT q.vec_id AS qid, e.vec_id AS id, list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda z: CAST(z[1] AS DOUBLE) * z[2])) / q.len / e.len AS score FROM n q, n e WHERE q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id)
@@ -263,7 +347,5 @@ ALIASES = {"invoice": ["bill", "rechnung", "facture"], "photo": ["picture", "fot
 )
 def search_expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every different past query, with their aliases."""
-    from korrel.functions import text as T
-
     asked = table(spark, sf_dir, "search_completed").where("query IS NOT NULL").select("query").distinct()
     return asked.select("query", F.array_join(F.array_sort(T.expanded(T.tokenize(F.col("query")), ALIASES)), " ").alias("tokens"))
