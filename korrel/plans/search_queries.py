@@ -160,7 +160,7 @@ HINDI_FACTOR = (
     f" WHEN regexp_matches(file_name, '[{V.SCRIPTS['latin']}]') OR NOT {IS_HINDI.format('body')} THEN 0.7 ELSE 0.85 END"
 )
 SCORED = rf"""q AS (SELECT f.query AS qid, core, {HINT} AS language, list_distinct(list_concat(core, flatten(list_transform(CASE WHEN len(core) > 0 THEN core ELSE {TOKENS.format('stripped')} END, lambda t: list_concat([t], coalesce({ALIAS_MAP}[t], [])))))) AS tokens,
-  list_transform(regexp_extract_all(lower(f.query), '(?:q|quarter )([1-4])', 1), lambda x: concat('q', x)) AS periods, len(core) BETWEEN 1 AND 2 AND len(list_intersect(core, {texts(Q.SIGNAL_WORDS)})) = 0 AND len(list_filter(core, lambda t: NOT {LIKE_NAME.format('t')})) = 0 AS person,
+  list_transform(regexp_extract_all(lower(f.query), '\b(?:q|quarter )([1-4])\b', 1), lambda x: concat('q', x)) AS periods, len(core) BETWEEN 1 AND 2 AND len(list_intersect(core, {texts(Q.SIGNAL_WORDS)})) = 0 AND len(list_filter(core, lambda t: NOT {LIKE_NAME.format('t')})) = 0 AS person,
   {two_best_sql([(c, hits_sql('lower(f.query)', TOKENS.format('f.query'), s), str(i)) for i, (c, s) in enumerate(V.CATEGORY_SIGNALS.items())])} AS categories, {ASKED_KIND} AS kind, clean FROM (SELECT *, len(list_filter(string_split_regex(clean, '\s+'), lambda t: trim(t) <> '')) AS n_clean FROM forms) f WHERE f.query IN (SELECT query FROM golden_queries)),
 w AS (SELECT id, name AS file_name, concat_ws(' ', lower(metadata_str), lower(content_snip)) AS body, {STEM} AS stem, lower(name) AS raw, lower(extension) AS ext, {WORDS_OF.format(STEM)} AS name_words, {WORDS_OF.format("string_split(path, '/')[-2]")} AS folder_words, {WORDS_OF.format('metadata_str')} AS meta_words, {WORDS_OF.format('content_snip')} AS content_words, {WORDS_OF.format('entities')} AS entity_words FROM latest),
 pairs AS (SELECT q.*, w.* FROM (SELECT DISTINCT qid, id FROM hits) h JOIN q ON q.qid = h.qid JOIN w ON w.id = h.id),
