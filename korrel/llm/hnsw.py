@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Neighbours of a node on upper layers (twice as many on the lowest), and the width of the searches.
-LINKS, BUILD_WIDTH, WIDTH = 10, 32, 24
+LINKS, BUILD_WIDTH, WIDTH = 10, 32, 36
 #: Points inserted or searched at once, and nodes expanded at once for each of them.
 BATCH, EXPAND = 512, 4
 
