@@ -56,8 +56,6 @@ def test_fusion_and_ranks(spark):
     assert {(r.id, r.rank) for r in R.rank_of(scored, scored.where("id < 3").select("qid", "id")).collect()} == {(1, 2), (2, 2)}
     near = R.nearest(spark.createDataFrame([("q", [1.0, 0.0])], "qid string, q array<float>"), spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0])], "id long, v array<float>"), 2)
     assert [(r.id, r.place) for r in near.orderBy("place").collect()] == [(1, 1), (2, 2)]
-    again = R.reranked(a.select("qid", "id"), scored, scored)
-    assert {r.id for r in again.collect()} == {1, 2}
 
 
 def test_limits():
@@ -73,3 +71,22 @@ def test_coverage_pool_and_weak_queries(spark):
     assert [(r.id, r.tier, r.pos) for r in R.pooled([(a, False), (b, True)], 1).orderBy("pos").collect()] == [(5, 0, 1), (6, 0, 2), (7, 1, 3)]
     scored = spark.createDataFrame([("tax return", 1, 9.0)], "qid string, id long, score double")
     assert {(r.qid, r.n) for r in R.weak_queries(q, scored, 5.0).collect()} == {("zzz", 0)}
+
+
+def test_stored_postings_read_only_asked_tokens(spark, tmp_path):
+    R.store_postings(files(spark), str(tmp_path / "p"), 16)
+    q = asked(spark, "tax return", "zzz")
+    got = R.stored_postings(q, str(tmp_path / "p"), buckets=16)
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in R.postings(files(spark)).where("token IN ('tax', 'return')").collect()}
+    assert "PartitionFilters: [bucket" in got._jdf.queryExecution().toString() or "PartitionFilters: [isnotnull(bucket" in got._jdf.queryExecution().toString()
+    assert R.stored_postings(q, str(tmp_path / "p"), [], 16).count() == 0
+
+
+def test_pins_come_in_for_the_last_others(spark):
+    from korrel.operators import search as SE
+
+    rows = [("q", i, 1.0 - i / 10, i in (0, 6, 7)) for i in range(9)]
+    got = SE.with_pins(spark.createDataFrame(rows, "qid string, id long, score double, pin boolean"), 4)
+    assert [r.id for r in got.orderBy("place").collect()] == [0, 1, 6, 7]
+    a, b = (spark.createDataFrame(x, "qid string, id long, score double") for x in ([("p", 1, 0.5), ("q", 1, 0.1)], [("p", 2, 0.52), ("q", 2, 0.1), ("r", 3, 0.1)]))
+    assert {(r.qid, r.id) for r in SE.better_of(a, b).collect()} == {("p", 1), ("q", 2), ("r", 3)}
