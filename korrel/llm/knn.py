@@ -38,7 +38,7 @@ from korrel.session import cut, lookup
 SAMPLE, CENTROIDS, CELL_ROWS, PER_CENTROID = 24_000, 4096, 60, 12
 #: Vectors of a shard, about, and at most in one task; vectors that one task of a divided shard routes.
 #: Nearest centroids whose shards a vector joins.
-SHARD_ROWS, TASK_ROWS, ROUTE_ROWS, PROBES = 2500, 20_000, 50_000, 2
+SHARD_ROWS, TASK_ROWS, ROUTE_ROWS, PROBES = 2500, 20_000, 50_000, 3
 #: Rounds of centroid training.
 ROUNDS = 3
 
