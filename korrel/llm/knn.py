@@ -1,17 +1,22 @@
 """The most similar vectors of every vector: a small-world graph per shard, results merged.
 
-Shards are groups of neighbouring cells around centroids that are trained on a bounded sample; all
-rows are indexed. For routing, the mean of the sample is taken off every vector: else a centroid near
-the mean would be among the nearest of vectors that have nothing in common. A vector belongs to the
-shards of its ``PROBES`` nearest centroids, so near vectors share a shard even at the border of cells.
+Shards are groups of neighbouring cells around centroids, one for about ``CELL_ROWS`` vectors, so that
+cells stay as fine as the data however large the table. They are trained on a ``SHARE`` of the rows,
+a region of the sample in each task; all rows are indexed. For routing, the mean of the sample is
+taken off every vector: else a centroid near the mean would be among the nearest of vectors that have
+nothing in common. A vector belongs to the shards of its nearest centroids: of ``PROBES`` those that
+are less than ``MARGIN`` of cosine behind the best. One next to a centroid of its own joins one shard,
+one between many cells joins many, so near vectors share a shard even at the border of cells.
 Each shard builds a graph (see ``hnsw``) and answers for its own members; the answers of a vector's
-shards are merged by exact cosine.
-
-No task ever holds more than about ``2 * TASK_ROWS`` vectors, whatever the table. A shard with more
-members than ``TASK_ROWS`` is divided again: finer centroids are trained on a bounded sample of its
-own members, in a task of each shard, and every member goes to the leaves of its ``PROBES`` nearest
-ones. Two levels of at most ``CENTROIDS`` serve some 5e10 vectors. A leaf that is still too large is
-stored in parts by hash; parts and members meet in pairs of bounded size, so nothing is lost.
+shards are merged by cosine. Vectors travel to their shards in 20 bits a value: an error of the size
+of that of a float32 sum, below the six decimals that are compared.
+
+No task ever holds more than about ``2 * TASK_ROWS`` vectors, whatever the table. At most ``ALL_CENTROIDS``
+serve the first level, as each worker holds them; beyond ``ALL_CENTROIDS * CELL_ROWS`` vectors cells grow
+coarser. A shard with more members than ``TASK_ROWS`` is divided again: finer centroids are trained on a
+bounded sample of its own members, in a task of each shard, and every member goes to the leaves of its
+nearest ones. A leaf that is still too large is stored in parts by hash; parts and members meet in pairs
+of bounded size, so nothing is lost.
 Exact copies (two hashes of 64 bits agree) are indexed once and put back into the answers, so that a
 group of copies of any size costs no more than one vector.
 
@@ -22,6 +27,7 @@ rows the smaller id comes first.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,12 +39,15 @@ from pyspark.sql import functions as F
 from korrel.llm.hnsw import Graph
 from korrel.session import cut, lookup
 
-#: Vectors that the centroids of the first level are trained on, about; centroids of a level or of a
-#: divided shard, at most; vectors of one cell, about; sampled vectors of a centroid.
-SAMPLE, CENTROIDS, CELL_ROWS, PER_CENTROID = 24_000, 4096, 60, 12
+#: Vectors that one task trains centroids on, about; share of the vectors that are trained on; centroids of
+#: one task and in all, at most; vectors of one cell, about; sampled vectors of a centroid.
+SAMPLE, SHARE, CENTROIDS, ALL_CENTROIDS, CELL_ROWS, PER_CENTROID = 30_000, 0.2, 4096, 131_072, 40, 8
 #: Vectors of a shard, about, and at most in one task; vectors that one task of a divided shard routes.
-#: Nearest centroids whose shards a vector joins.
-SHARD_ROWS, TASK_ROWS, ROUTE_ROWS, PROBES = 2500, 20_000, 50_000, 3
+SHARD_ROWS, TASK_ROWS, ROUTE_ROWS = 2500, 20_000, 50_000
+#: Nearest centroids whose shards a vector joins, at most, and how far their cosines may be behind the best.
+PROBES, MARGIN = 8, 0.15
+#: Vectors and centroids that are compared at once. Share and number of vectors by which cells are weighed, at least.
+ROWS, BLOCK, WEIGHED, WEIGHED_ROWS = 2048, 4096, 1 / 16, 50_000
 #: Rounds of centroid training.
 ROUNDS = 3
 
@@ -66,6 +75,10 @@ def centroids_of(sample: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 5
 
 def shards_of(centroids: np.ndarray, weights: np.ndarray, most: float) -> np.ndarray:
     """A shard for each centroid: groups are halved along their main direction while too heavy."""
+
+    def blocks(group: np.ndarray) -> Iterator[np.ndarray]:
+        return (centroids[group[a : a + 16_384]].astype(np.float32) for a in range(0, len(group), 16_384))
+
     out = np.zeros(len(centroids), dtype=np.int32)
     waiting, shards = [np.arange(len(centroids))], 0
     while waiting:
@@ -74,12 +87,15 @@ def shards_of(centroids: np.ndarray, weights: np.ndarray, most: float) -> np.nda
             out[group] = shards
             shards += 1
             continue
-        own = centroids[group] - centroids[group].mean(axis=0)
-        axis = own[np.argmax((own * own).sum(axis=1))]
+        own = list(blocks(group)) if len(group) <= 16_384 else None  # else as it is, in half precision
+        parts = (lambda own=own, group=group: own or blocks(group))
+        mean = sum(b.sum(axis=0) for b in parts()) / len(group)
+        away = [((b - mean) ** 2).sum(axis=1) for b in parts()]
+        axis = centroids[group[int(np.concatenate(away).argmax())]].astype(np.float32) - mean
         for _ in range(8):  # power iteration
-            axis = own.T @ (own @ axis)
+            axis = sum((b - mean).T @ ((b - mean) @ axis) for b in parts())
             axis /= max(float(np.linalg.norm(axis)), 1e-30)
-        order = group[np.argsort(own @ axis, kind="stable")]
+        order = group[np.argsort(np.concatenate([(b - mean) @ axis for b in parts()]), kind="stable")]
         total = np.cumsum(weights[order])
         at = min(max(int(np.searchsorted(total, total[-1] / 2)), 1), len(order) - 1)
         waiting += [order[:at], order[at:]]
@@ -112,10 +128,29 @@ def from_mean(x: np.ndarray, mean: np.ndarray) -> np.ndarray:
     return y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-30)
 
 
-def nearest_centroids(y: np.ndarray, centroids: np.ndarray) -> np.ndarray:
-    """The PROBES nearest centroids of each row."""
+def nearest_centroids(y: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the PROBES nearest centroids of each row, -1 for those too far behind the best; 1 - cosine)."""
     probes = min(PROBES, len(centroids))
-    return np.concatenate([np.argpartition(-(y[a : a + 4096] @ centroids.T), probes - 1, axis=1)[:, :probes] for a in range(0, max(len(y), 1), 4096)])
+    near, sims = np.empty((len(y), probes), dtype=np.int64), np.empty((len(y), probes), dtype=np.float32)
+    for a in range(0, len(y), ROWS):
+        part = y[a : a + ROWS]
+        for b in range(0, len(centroids), max(BLOCK, probes)):
+            s = part @ centroids[b : b + max(BLOCK, probes)].astype(np.float32).T
+            if not b:
+                n = np.argpartition(-s, probes - 1, axis=1)[:, :probes]
+                v = np.take_along_axis(s, n, 1)
+                continue
+            rows, cols = np.nonzero(s > v.min(axis=1, keepdims=True))  # few are better than the best so far
+            if not len(rows):
+                continue
+            counts = np.bincount(rows, minlength=len(part))
+            place = probes + np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
+            all_n, all_v = (np.pad(z, ((0, 0), (0, int(counts.max()))), constant_values=c) for z, c in ((n, -1), (v, -np.inf)))
+            all_n[rows, place], all_v[rows, place] = cols + b, s[rows, cols]
+            best = np.argpartition(-all_v, probes - 1, axis=1)[:, :probes]
+            n, v = np.take_along_axis(all_n, best, 1), np.take_along_axis(all_v, best, 1)
+        near[a : a + ROWS], sims[a : a + ROWS] = np.where(v >= v.max(axis=1, keepdims=True) - MARGIN, n, -1), v
+    return near, 1 - sims
 
 
 def drawn(rows: DataFrame, seed: int, share: float | F.Column) -> DataFrame:
@@ -123,57 +158,110 @@ def drawn(rows: DataFrame, seed: int, share: float | F.Column) -> DataFrame:
     return rows.where(F.xxhash64(F.lit(seed), "id") / F.lit(2.0**64) + 0.5 < share)
 
 
-def trained(sample: np.ndarray, rows: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(centroids, shard of each, estimated members of each shard) for ``rows`` vectors of which
-    ``sample`` is a part."""
-    centroids = centroids_of(sample, k)
-    weights = np.bincount(nearest_centroids(sample, centroids).ravel(), minlength=k) * (rows / len(sample))
-    shard = shards_of(centroids, weights, SHARD_ROWS)
-    return centroids, shard, np.bincount(shard, weights=weights)
-
-
-def _routing(usable: DataFrame, rows: int, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
-    """(mean, centroids, shard of each, estimated members of each shard), trained on about SAMPLE rows;
-    None if no row takes part."""
-    sample = drawn(usable, 11, min(1.0, SAMPLE / max(rows, 1))).select("v").toArrow()
-    if not sample.num_rows:
+def _centroids(usable: DataFrame, rows: int, dims: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """(mean, centroids), trained on a SHARE of the rows; None if no row takes part."""
+    first = drawn(usable, 11, min(1.0, SAMPLE / max(rows, 1), max(SHARE, 2400 / max(rows, 1)))).select("v").toArrow()
+    if not first.num_rows:
         if usable.isEmpty():
             return None
-        sample = usable.select("v").limit(SAMPLE).toArrow()  # few of the rows are usable
-    x = unit_rows(sample["v"], dims)
+        first = usable.select("v").limit(SAMPLE).toArrow()  # few of the rows are usable
+    x = unit_rows(first["v"], dims)
     mean = x.mean(axis=0) if len(x) > 1 else np.zeros(dims, dtype=np.float32)
-    k = int(min(CENTROIDS, max(1, rows // CELL_ROWS), max(1, len(x) // PER_CENTROID)))
-    return mean, *trained(from_mean(x, mean), rows, k)
+    y = from_mean(x, mean)
+    wide = min(rows * SHARE, ALL_CENTROIDS * PER_CENTROID)
+    if wide <= SAMPLE:
+        return mean, centroids_of(y, int(min(CENTROIDS, max(1, rows // CELL_ROWS), max(1, len(y) // PER_CENTROID)))).astype(np.float16)
+    # regions of the sample, and parts of those that would be too large for a task
+    few = min(len(y), math.ceil(wide / SAMPLE))
+    regions = centroids_of(y, few)
+    parts = np.ceil(np.bincount((y @ regions.T).argmax(1), minlength=few) * (wide / len(y) / SAMPLE / 1.5)).astype(np.int64).clip(1)
+    sent = usable.sparkSession.sparkContext.broadcast((mean, regions, parts))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mean, regions, parts = sent.value
+        for b in batches:
+            if b.num_rows:
+                x = unit_rows(b.column("v"), dims)
+                region = (from_mean(x, mean) @ regions.T).argmax(1)
+                yield pa.RecordBatch.from_arrays([pa.array(region, pa.int64()), pa.array(b.column("h").to_numpy() % parts[region], pa.int64()), packed(x)], names=["region", "part", "v"])
+
+    def learn(group: pa.Table) -> pa.Table:
+        y = from_mean(unpacked(group["v"], dims), sent.value[0])
+        return pa.table({"centroids": pa.array([centroids_of(y, int(min(CENTROIDS, max(1, len(y) // PER_CENTROID)))).astype(np.float16).tobytes()], pa.binary())})
+
+    hashed = drawn(usable, 23, wide / rows).select(F.expr("pmod(xxhash64(29, id), 1048576)").alias("h"), "v")
+    learnt = hashed.mapInArrow(place, "region bigint, part bigint, v binary").groupBy("region", "part").applyInArrow(learn, "centroids binary").toArrow()
+    held = [np.frombuffer(c.as_buffer(), dtype=np.float16).reshape(-1, dims) for c in learnt["centroids"]]
+    if not held:
+        return mean, regions.astype(np.float16)
+    held.sort(key=lambda c: c[0].tobytes())  # the same shards however the rows came
+    return mean, np.concatenate(held)
+
+
+def _routing(usable: DataFrame, indexed: DataFrame, rows: int, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+    """(mean, centroids, shard of each, estimated members of each shard); None if no row takes part."""
+    found = _centroids(usable, rows, dims)
+    if found is None:
+        return None
+    sent = usable.sparkSession.sparkContext.broadcast(found)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mean, centroids = sent.value
+        n = np.zeros(len(centroids), dtype=np.int64)
+        for b in batches:
+            if b.num_rows:
+                near = nearest_centroids(from_mean(unit_rows(b.column("v"), dims), mean), centroids)[0]
+                n += np.bincount(near[near >= 0], minlength=len(n))
+        held = np.nonzero(n)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array(n[held])], names=["centroid", "n"])
+
+    # a sixteenth is enough to tell the shards that hold more than 2 * TASK_ROWS
+    share = min(1.0, max(WEIGHED, WEIGHED_ROWS / max(rows, 1)))
+    counts = drawn(indexed, 31, share).mapInArrow(weigh, "centroid bigint, n bigint").groupBy("centroid").agg(F.sum("n").alias("n")).toArrow()
+    weights = np.zeros(len(found[1]))
+    weights[counts["centroid"].to_numpy()] = counts["n"].to_numpy() / share
+    shard = shards_of(found[1], weights, SHARD_ROWS)
+    return *found, shard, np.bincount(shard, weights=weights)
 
 
 def _distinct_shards(y: np.ndarray, centroids: np.ndarray, shard_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, shard) of each different shard that a row's nearest centroids belong to."""
-    shards = np.sort(shard_of[nearest_centroids(y, centroids)], axis=1)
-    first = np.ones_like(shards, dtype=bool)
-    first[:, 1:] = shards[:, 1:] != shards[:, :-1]
+    near = nearest_centroids(y, centroids)[0]
+    shards = np.sort(np.where(near >= 0, shard_of[near], -1), axis=1)
+    first = shards >= 0
+    first[:, 1:] &= shards[:, 1:] != shards[:, :-1]
     who, where = np.nonzero(first)
     return who, shards[who, where]
 
 
-def _blobs(x: np.ndarray) -> pa.Array:
-    """The rows of a matrix as a binary column."""
-    flat = pa.py_buffer(np.ascontiguousarray(x, dtype=np.float32))
-    return pa.Array.from_buffers(pa.binary(x.shape[1] * 4), len(x), [None, flat]).cast(pa.binary())
+def packed(x: np.ndarray) -> pa.Array:
+    """The rows of a matrix as a binary column: the largest absolute value, and of each value 20 bits of its share in that."""
+    dims = x.shape[1]
+    scale = np.maximum(np.abs(x).max(axis=1, keepdims=True), 1e-30).astype(np.float32)
+    q = (np.rint(x / scale * np.float32(2**19 - 1)).astype(np.int32) + 2**19).astype(np.uint32)
+    low = np.zeros((len(x), dims + dims % 2), dtype=np.uint8)
+    low[:, :dims] = q & 15
+    parts = scale.view(np.uint8), (q >> 4).astype(np.uint16).view(np.uint8), low[:, ::2] | low[:, 1::2] << 4
+    flat = np.ascontiguousarray(np.concatenate([p.reshape(len(x), -1) for p in parts], axis=1))
+    return pa.Array.from_buffers(pa.binary(flat.shape[1]), len(x), [None, pa.py_buffer(flat)]).cast(pa.binary())
 
 
-def _from_blobs(column: pa.ChunkedArray, dims: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float32).reshape(-1, dims)
+def unpacked(column: pa.ChunkedArray, dims: int) -> np.ndarray:
+    flat = np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), -1)
+    low = np.empty((len(flat), dims + dims % 2), dtype=np.uint8)
+    low[:, ::2], low[:, 1::2] = flat[:, 4 + 2 * dims :] & 15, flat[:, 4 + 2 * dims :] >> 4
+    q = (np.ascontiguousarray(flat[:, 4 : 4 + 2 * dims]).view(np.uint16).astype(np.int32) << 4 | low[:, :dims]) - 2**19
+    return q.astype(np.float32) * (np.ascontiguousarray(flat[:, :4]).view(np.float32) / np.float32(2**19 - 1))
 
 
 def members(usable: DataFrame, indexed: DataFrame, rows: int, dims: int) -> DataFrame | None:
     """(shard, part, other, id, stored, asks, v): the vectors that each task (shard, part, other)
     stores and those that it answers for; None if no row takes part."""
     spark = usable.sparkSession
-    routing = _routing(usable, rows, dims)
+    routing = _routing(usable, indexed, rows, dims)
     if routing is None:
         return None
     sent = spark.sparkContext.broadcast(routing[:3])
-    most = float(routing[3].max())
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mean, centroids, shard_of = sent.value
@@ -185,26 +273,12 @@ def members(usable: DataFrame, indexed: DataFrame, rows: int, dims: int) -> Data
             who, shards = _distinct_shards(from_mean(x, mean), centroids, shard_of)
             for a in range(0, len(who), 20_000):
                 w = who[a : a + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array(shards[a : a + 20_000], pa.int64()), pa.array(ids[w], pa.int64()), _blobs(x[w])], names=["shard", "id", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(shards[a : a + 20_000], pa.int64()), pa.array(ids[w], pa.int64()), packed(x[w])], names=["shard", "id", "v"])
 
     routed = indexed.mapInArrow(route, "shard bigint, id bigint, v binary")
     whole = (F.lit(0).alias("part"), F.lit(0).alias("other"), "id", F.lit(True).alias("stored"), F.lit(True).alias("asks"), "v")
-    # an estimate from many sampled members is safe; else all members are counted
-    if rows * PROBES * 64 <= SHARD_ROWS * min(rows, SAMPLE) and most * 2 <= TASK_ROWS:
-        return routed.select("shard", *whole)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mean, centroids, shard_of = sent.value
-        n = np.zeros(len(centroids), dtype=np.int64)
-        for b in batches:
-            if b.num_rows:
-                n += np.bincount(_distinct_shards(from_mean(unit_rows(b.column("v"), dims), mean), centroids, shard_of)[1], minlength=len(n))
-        held = np.nonzero(n)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array(n[held])], names=["shard", "n"])
-
-    # at most CENTROIDS rows
-    counts = {r.shard: r.n for r in indexed.mapInArrow(count, "shard bigint, n bigint").groupBy("shard").agg(F.sum("n").alias("n")).collect()}
-    large = {s: n for s, n in counts.items() if n > TASK_ROWS}
+    # at most as many as there are centroids; a heavy shard has one centroid, which counts each member once
+    large = {s: math.ceil(n) for s, n in enumerate(routing[3].tolist()) if n > TASK_ROWS}
     if not large:
         return routed.select("shard", *whole)
     small = routed.where(~F.col("shard").isin(list(large))).select("shard", *whole)
@@ -213,7 +287,8 @@ def members(usable: DataFrame, indexed: DataFrame, rows: int, dims: int) -> Data
     over = cut(sizes.where(F.col("n") > TASK_ROWS))
     if over.isEmpty():
         return small.unionByName(leaves.select("shard", *whole))
-    parts = F.ceil(F.coalesce("n", F.lit(1)) / TASK_ROWS).cast("int")
+    # parts by hash are not equally large
+    parts = F.ceil(F.coalesce("n", F.lit(1)) / (TASK_ROWS - min(4 * TASK_ROWS**0.5, TASK_ROWS / 2))).cast("int")
     known = lookup(leaves, sizes.withColumn("members", F.col("n")), ["shard"], "members").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64(F.lit(5), "id"), F.col("parts")).cast("int"))
     # a stored row meets the askers of every part, an asker the stored rows of every part
     pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(p.alias("p")))).alias("x")
@@ -231,10 +306,12 @@ def _leaves(wide: DataFrame, indexed: DataFrame, large: dict[int, int], dims: in
 
     def learn(group: pa.Table) -> pa.Table:
         mean = sent.value[0]
-        y = from_mean(_from_blobs(group["v"], dims), mean)
+        y = from_mean(unpacked(group["v"], dims), mean)
         shard, rows = group["shard"][0].as_py(), large[group["shard"][0].as_py()]
         k = int(min(CENTROIDS, max(2, rows // CELL_ROWS), max(1, len(y) // PER_CENTROID)))
-        centroids, leaf, _ = trained(y, rows, k)
+        centroids = centroids_of(y, k)
+        near = nearest_centroids(y, centroids)[0]
+        leaf = shards_of(centroids, np.bincount(near[near >= 0], minlength=k) * (rows / len(y)), SHARD_ROWS)
         return pa.table({"shard": pa.array([shard], pa.int64()), "leaf": pa.array([leaf.tolist()], pa.list_(pa.int32())), "centroids": pa.array([centroids.tobytes()], pa.binary())})
 
     sample = drawn(wide, 13, finer * PER_CENTROID / n)
@@ -249,16 +326,16 @@ def _leaves(wide: DataFrame, indexed: DataFrame, large: dict[int, int], dims: in
             return pa.table({"id": pa.array([], pa.int64()), "leaf": pa.array([], pa.int64()), "away": pa.array([], pa.float32())})
         centroids = np.frombuffer(table["centroids"][0].as_py(), dtype=np.float32).reshape(-1, dims)
         leaf_of = np.array(table["leaf"][0].as_py(), dtype=np.int64) + table["shard"][0].as_py() * 2 * CENTROIDS + CENTROIDS * CENTROIDS
-        y = from_mean(_from_blobs(rows["v"], dims), sent.value[0])
-        near = nearest_centroids(y, centroids)
-        sims = np.concatenate([np.take_along_axis(y[a : a + 4096] @ centroids.T, near[a : a + 4096], 1) for a in range(0, len(y), 4096)])
-        ids = np.repeat(rows["id"].to_numpy(), near.shape[1])
-        return pa.table({"id": pa.array(ids, pa.int64()), "leaf": pa.array(leaf_of[near].ravel(), pa.int64()), "away": pa.array((1 - sims).ravel().astype(np.float32))})
+        y = from_mean(unpacked(rows["v"], dims), sent.value[0])
+        near, away = nearest_centroids(y, centroids)
+        who, where = np.nonzero(near >= 0)
+        return pa.table({"id": pa.array(rows["id"].to_numpy()[who], pa.int64()), "leaf": pa.array(leaf_of[near[who, where]], pa.int64()), "away": pa.array(away[who, where])})
 
     placed = salted.groupBy("shard", "salt").cogroup(tables.groupBy("shard", "salt")).applyInArrow(place, "id bigint, leaf bigint, away float")
     # of the leaves of all its shards a vector joins those of its nearest centroids
     best = placed.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("away", "leaf"))), 1, PROBES).alias("best"))
-    chosen = best.select("id", F.explode(F.array_distinct(F.transform("best", lambda s: s["leaf"]))).alias("shard"))
+    near = F.filter("best", lambda s: s["away"] <= F.col("best")[0]["away"] + MARGIN)
+    chosen = best.select("id", F.explode(F.array_distinct(F.transform(near, lambda s: s["leaf"]))).alias("shard"))
     unit = wide.groupBy("id").agg(F.any_value("v").alias("v"))
     return cut(chosen.join(unit, "id").select("shard", "id", "v"))
 
@@ -278,7 +355,7 @@ def nearest_of_all(rows: DataFrame, most: int = 10, vector: str = "embedding") -
         return none
 
     def answer(group: pa.Table) -> pa.Table:
-        ids, x = group["id"].to_numpy(), _from_blobs(group["v"], dims)
+        ids, x = group["id"].to_numpy(), unpacked(group["v"], dims)
         stored, asks = (group[c].to_numpy(zero_copy_only=False).astype(bool) for c in ("stored", "asks"))
         order = np.argsort(ids, kind="stable")  # the same graph however the rows came
         ids, x, stored, asks = ids[order], x[order], stored[order], asks[order]

@@ -1,6 +1,7 @@
 """Nearest vectors against brute force, linked names, and personal data."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from korrel.llm import hnsw, knn
@@ -71,6 +72,30 @@ def test_groups_stay_bounded(spark, monkeypatch):
     assert np.mean([len(set(got[i]) & set(want[i])) / 10 for i in range(1500)]) >= 0.9
 
 
+def test_cells_stay_fine_in_large_tables(spark, monkeypatch):
+    for name, value in {"SAMPLE": 600, "SHARD_ROWS": 100}.items():  # a table of ten samples, with more clusters than one of them can tell apart
+        monkeypatch.setattr(knn, name, value)
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(400, 96))[rng.integers(400, size=6000)] + 0.7 * rng.normal(size=(6000, 96))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    got = {r.id: [n.neighbour for n in r.near] for r in knn.nearest_of_all(vectors(spark, x)).collect()}
+    want = brute(x, 10)
+    assert np.mean([len(set(got[i]) & set(want[i])) / 10 for i in range(6000)]) >= 0.95
+
+
+def test_packed_vectors_and_nearest_centroids(monkeypatch):
+    x = clustered(300, dims=33)
+    back = knn.unpacked(pa.chunked_array([knn.packed(x)]), 33)
+    assert np.abs(back - x).max() < 1e-6 and np.abs(back @ back.T - x @ x.T).max() < 5e-6
+    monkeypatch.setattr(knn, "BLOCK", 50)
+    near, away = knn.nearest_centroids(x[:200], x[200:])
+    sims = x[:200] @ x[200:].T
+    for i in range(200):
+        best = np.argsort(-sims[i])[: knn.PROBES]
+        assert set(near[i][near[i] >= 0]) == {j for j in best if sims[i, j] >= sims[i, best[0]] - knn.MARGIN}
+    assert np.allclose(1 - away.min(axis=1), sims.max(axis=1), atol=1e-5)
+
+
 def test_sample_of_huge_tables(spark):
     rows = spark.range(200_000)
     assert 150 < knn.drawn(rows, 11, 0.001).count() < 250
