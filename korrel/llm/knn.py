@@ -8,8 +8,8 @@ nothing in common. A vector belongs to the shards of its nearest centroids: of `
 are less than ``MARGIN`` of cosine behind the best. One next to a centroid of its own joins one shard,
 one between many cells joins many, so near vectors share a shard even at the border of cells.
 Each shard builds a graph (see ``hnsw``) and answers for its own members; the answers of a vector's
-shards are merged by cosine. Vectors travel to their shards in 20 bits a value: cosines differ by some
-1e-7, about the last of the six decimals that are compared at most.
+shards are merged by cosine. Vectors travel to their shards in 20 bits a value: cosines differ by about
+1e-6 at most, the last of the six decimals that are compared.
 
 No task ever holds more than about ``2 * TASK_ROWS`` vectors, whatever the table. At most ``ALL_CENTROIDS``
 serve the first level, as each worker holds them; beyond ``ALL_CENTROIDS * CELL_ROWS`` vectors cells grow
